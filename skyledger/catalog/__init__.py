@@ -6,7 +6,7 @@ from importlib import import_module
 
 from skyledger.catalog import core
 
-_GROUPS = ["reporting"]
+_GROUPS = ["reporting", "tables"]
 
 
 def _load() -> None:

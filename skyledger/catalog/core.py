@@ -39,16 +39,22 @@ class Inputs:
     @cached_property
     def full_reports(self) -> DataFrame:
         """Reports with every column of the table, ``media`` included."""
-        df = self.derived("full_reports").withColumn("hashtags", F.split("hashtags_csv", ","))
+        return self.with_media(self.derived("full_reports"))
+
+    @staticmethod
+    def with_media(df: DataFrame) -> DataFrame:
+        """Turn the flat fixture columns into the array columns."""
+        df = df.withColumn("hashtags", F.split("hashtags_csv", ","))
+        key = F.concat("source", F.lit("/"), "external_id")
         ref = F.transform(
             F.sequence(F.lit(1), F.greatest("media_n", F.lit(1))),
             lambda i: F.struct(
                 F.lit("media").alias("bucket"),
-                F.concat(F.lit("k/"), F.col("id"), F.lit("-"), i.cast("string"), F.lit(".jpg")).alias("key"),
+                F.concat(F.lit("k/"), key, F.lit("-"), i.cast("string"), F.lit(".jpg")).alias("key"),
                 F.lit("image/jpeg").alias("content_type"),
-                F.sha2(F.concat("id", i.cast("string")), 256).alias("sha256"),
-                (F.col("report_id") + i).cast("bigint").alias("size"),
-                F.concat(F.lit("https://example.org/m/"), F.col("id"), F.lit("/"), i.cast("string")).alias("source_url"),
+                F.sha2(F.concat(key, i.cast("string")), 256).alias("sha256"),
+                (F.length(key) + i).cast("bigint").alias("size"),
+                F.concat(F.lit("https://example.org/m/"), key, F.lit("/"), i.cast("string")).alias("source_url"),
             ),
         )
         return df.withColumn("media", F.when(F.col("media_n") > 0, ref).otherwise(F.slice(ref, 1, 0))).drop("hashtags_csv", "media_n")

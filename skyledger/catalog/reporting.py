@@ -31,9 +31,9 @@ def _(x: Inputs):
 
 
 @query("i3_equality", ["reports"], f"""SELECT {_BASE} FROM reports
- WHERE event_category = 'fog' AND lang = 'en' AND verification_status <> 'rejected'""")
+ WHERE event_category = 'fog' AND lang = 'hi' AND verification_status <> 'rejected'""")
 def _(x: Inputs):
-    return R.equality_filter(x.reports, category="fog", lang="en", include_rejected=False).select(*_B)
+    return R.equality_filter(x.reports, category="fog", lang="hi", include_rejected=False).select(*_B)
 
 
 @query("i4_dups_mincred", ["reports"], f"""SELECT {_BASE} FROM reports
@@ -85,11 +85,11 @@ def _(x: Inputs):
     return R.track(x.derived("tokens"), x.full_reports)
 
 
-@query("i10_media", ["full_reports"], """SELECT report_id, concat('k/', id, '-2.jpg') AS key, 'image/jpeg' AS content_type,
-  report_id + 2 AS size FROM full_reports WHERE media_n >= 2 AND lang = 'en'""")
+@query("i10_media", ["full_reports"], """SELECT report_id, concat('k/', source, '/', external_id, '-2.jpg') AS key, 'image/jpeg' AS content_type,
+  length(concat(source, '/', external_id)) + 2 AS size FROM full_reports WHERE media_n >= 2 AND lang = 'en'""")
 def _(x: Inputs):
     df = x.full_reports
-    keys = df.filter("lang = 'en'").select("report_id", F.concat(F.lit("k/"), "id", F.lit("-2.jpg")).alias("key"))
+    keys = df.filter("lang = 'en'").select("report_id", F.concat(F.lit("k/"), "source", F.lit("/"), "external_id", F.lit("-2.jpg")).alias("key"))
     return R.report_media(df, keys).select("report_id", "key", "content_type", "size")
 
 
@@ -231,7 +231,7 @@ def _(x: Inputs):
     return G.within_bbox(x.reports, *G.parse_bbox("72.5,17,78,24")).select(*_B)
 
 
-@query("k2_radius", ["reports"], f"""SELECT {_BASE} FROM reports WHERE 6371 * acos(least(1.0, cos(radians(19.0)) * cos(radians(lat))
+@query("k2_radius", ["reports"], f"""SELECT {_BASE} FROM reports WHERE lat IS NOT NULL AND lon IS NOT NULL AND 6371 * acos(least(1.0, cos(radians(19.0)) * cos(radians(lat))
   * cos(radians(lon) - radians(73.0)) + sin(radians(19.0)) * sin(radians(lat)))) <= 650""")
 def _(x: Inputs):
     return G.within_radius(x.reports, 19.0, 73.0, 650.0).select(*_B)

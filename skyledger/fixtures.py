@@ -68,7 +68,8 @@ SELECT r.*, CAST(r.report_id AS VARCHAR(20)) AS id,
   CASE WHEN r.report_id % 4 = 0 THEN NULL ELSE concat('https://example.org/r/', CAST(r.report_id AS VARCHAR(20))) END AS source_url,
   CAST(NULL AS VARCHAR(20)) AS verification_note,
   CAST(r.report_id % 4 AS INT) AS media_n,
-  CASE WHEN r.source = 'citizen' AND r.report_id % 3 = 0 THEN TRUE ELSE FALSE END AS pending_publish
+  CASE WHEN r.source = 'citizen' AND r.report_id % 3 = 0 THEN concat('{"citizen_pending_publish":true,"n":', CAST(r.report_id AS VARCHAR(20)), '}')
+    WHEN r.report_id % 3 = 1 THEN concat('{"n":', CAST(r.report_id AS VARCHAR(20)), '}') ELSE NULL END AS raw
 FROM reports r""")
 
 # hourly station observations: one per (station, hour)
@@ -83,6 +84,27 @@ FROM events e JOIN {_CITIES8} ON c.k = e.user_id % 8
 WHERE e.event_type = 'error'
 GROUP BY c.city, date_trunc('hour', e.ts)""")
 
+# classified posts that arrive for keys the report table may already hold
+DERIVED["arrivals"] = (["full_reports"], """
+SELECT source, concat('x-', CAST(report_id - report_id % 4 AS VARCHAR(20))) AS external_id, report_id AS arrival,
+  CASE WHEN report_id % 4 = 3 THEN NULL ELSE source_url END AS source_url, author, text, lang, hashtags_csv, lat, lon, city, district, state,
+  event_category, severity, confidence, credibility_score, (report_id % 5 = 0) AS is_duplicate,
+  CASE WHEN report_id % 5 = 0 THEN concat('rss:x-', CAST(report_id - 5 AS VARCHAR(20))) ELSE NULL END AS duplicate_of,
+  CASE WHEN report_id % 5 = 0 THEN 0.9e0 ELSE NULL END AS dedup_score, 'text' AS geocode_method,
+  CAST(report_id % 3 AS INT) AS media_n, observed_at + INTERVAL '60' SECOND AS observed_at, raw
+FROM full_reports WHERE report_id % 2 = 1 OR report_id % 9 = 0""")
+
+# landed raw posts as JSON text, some of them broken in known ways
+DERIVED["messages"] = (["reports"], """
+SELECT report_id, CASE WHEN report_id % 41 = 0 THEN concat('{"source": oops ', CAST(report_id AS VARCHAR(20))) ELSE concat(
+  '{"source":', CASE WHEN report_id % 23 = 0 THEN 'null' ELSE concat('"', source, '"') END,
+  ',"external_id":"', external_id, '","text":"', CASE WHEN report_id % 29 = 0 THEN '   ' ELSE concat(' ', replace(text, '"', ''), ' ') END,
+  '","observed_at":"', CASE WHEN report_id % 37 = 0 THEN 'yesterday' ELSE concat(CAST(date_trunc('second', observed_at) AS VARCHAR(30)), 'Z') END,
+  '","lat":', CASE WHEN report_id % 31 = 0 THEN '"abc"' WHEN lat IS NULL THEN 'null' ELSE '21.5' END,
+  CASE WHEN report_id % 3 = 0 THEN ',"hashtags":["#IMD","#Rain"]' ELSE '' END,
+  CASE WHEN report_id % 7 = 0 THEN ',"city_hint":"Mumbai","raw":{"n":1}' WHEN report_id % 7 = 1 THEN ',"raw":"not json"' ELSE '' END,
+  CASE WHEN report_id % 5 = 0 THEN ',"channel":"sms"' ELSE '' END, '}') END AS value FROM reports""")
+
 DERIVED["tokens"] = (["reports"], """
 SELECT concat('t', CAST(report_id AS VARCHAR(20))) AS token, report_id FROM reports WHERE source = 'citizen'""")
 

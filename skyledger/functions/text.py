@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from skyledger import fixed_values as V
 
@@ -16,9 +16,14 @@ COMMON_ENTITIES = [
 _OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|apos|nbsp|amp);)[#A-Za-z]"
 
 
-@F.pandas_udf("string")
-def _unescape_rare(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def _unescape_rare():
+    """Defined inside a function so that workers need no package install."""
+
+    @F.pandas_udf(T.StringType())
+    def unescape(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return unescape
 
 
 def unescape_html(col: Column) -> Column:
@@ -27,7 +32,7 @@ def unescape_html(col: Column) -> Column:
     for entity, char in COMMON_ENTITIES:
         plain = F.replace(plain, F.lit(entity), F.lit(char))
     rare = col.rlike(_OTHER_ENTITY)
-    return F.when(rare, _unescape_rare(F.when(rare, col))).otherwise(plain)
+    return F.when(rare, _unescape_rare()(F.when(rare, col))).otherwise(plain)
 
 
 def unescape_common(col: Column) -> Column:
