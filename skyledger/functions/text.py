@@ -11,9 +11,11 @@ from skyledger import fixed_values as V
 
 # Entities decoded by plain replacement; "&amp;" has to come last.
 COMMON_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
+    ("&copy;", "©"), ("&middot;", "·"), ("&deg;", "°"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
+    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
 ]
-_OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|apos|nbsp|amp);)[#A-Za-z]"
+_OTHER_ENTITY = "&(?!(?:" + "|".join(e.strip("&;") for e, _c in COMMON_ENTITIES) + ");)[#A-Za-z]"
 
 
 def _unescape_rare():
@@ -100,9 +102,12 @@ def extract_hashtags(cleaned: Column) -> Column:
 def merge_hashtags(given: Column, found: Column) -> Column:
     """Case-insensitive distinct; the first spelling and the order are kept."""
     none = F.array().cast("array<string>")
-    tags = F.concat(F.coalesce(given, none), F.coalesce(found, none))
-    keys = F.transform(tags, F.lower)
-    return F.filter(tags, lambda tag, i: F.array_position(keys, F.lower(tag)) == i + 1)
+
+    def add(kept: Column, tag: Column) -> Column:
+        known = F.exists(kept, lambda k: F.lower(k) == F.lower(tag))
+        return F.when(known, kept).otherwise(F.concat(kept, F.array(tag)))
+
+    return F.aggregate(F.concat(F.coalesce(given, none), F.coalesce(found, none)), none, add)
 
 
 def slug(col: Column) -> Column:

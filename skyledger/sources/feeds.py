@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skyledger import fixed_values as V
 from skyledger.functions.json import empty_object, json_object, without
 from skyledger.functions.numbers import fixed
+from skyledger.functions.plan import once
 from skyledger.functions.text import clean_html, slug, strip
 from skyledger.operators.geocode import Gazetteer, find_city, nearest_city, priority_cities
 
@@ -70,7 +71,7 @@ def normalise_district_warnings(df: DataFrame, gaz: Gazetteer, as_of: dt.datetim
     named = df.withColumn("district", strip(F.col("District"))).filter("district <> ''")
     daily = named.select("district", "Date", "Latitude", "Longitude", days.alias("d")).select("*", "d.*").drop("d")
     codes = F.filter(F.transform(F.split("codes", ","), lambda c: F.trim(c)), lambda c: c.isin(known))
-    warned = daily.withColumn("matched", codes).filter(F.size("matched") > 0)
+    warned = once(daily, matched=codes).filter(F.size("matched") > 0)
     cats = F.transform("matched", lambda c: categories[c])
     warned = warned.withColumns(
         {
@@ -214,12 +215,11 @@ def normalise_timeline(df: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Timeline fetches (instance, tag, payload = JSON list of statuses)."""
     rows = df.select("instance", "tag", F.explode(F.from_json("payload", STATUSES)).alias("s")).select("instance", "tag", "s.*")
     none = F.expr(_NO_TEXTS)
-    read = rows.withColumns(
-        {
-            "body": clean_html(F.coalesce("content", F.lit(""))),
-            "names": F.coalesce(F.transform("tags", lambda t: F.coalesce(t["name"], F.lit(""))), none),
-            "host": F.regexp_replace("instance", "^.*?//", ""),
-        }
+    read = once(
+        rows,
+        body=clean_html(F.coalesce("content", F.lit(""))),
+        names=F.coalesce(F.transform("tags", lambda t: F.coalesce(t["name"], F.lit(""))), none),
+        host=F.regexp_replace("instance", "^.*?//", ""),
     )
     words = f"(?iu){V.TIMELINE_WORDS}"
     about = F.col("body").rlike(words) | F.exists("names", lambda n: n.rlike(words))
@@ -261,7 +261,7 @@ def normalise_forum(df: DataFrame) -> DataFrame:
     title = F.coalesce("title", F.lit(""))
     body = clean_html(F.when(F.coalesce("selftext", F.lit("")) != "", F.col("selftext")).otherwise(title))
     full = strip(F.concat(title, F.lit("\n"), body))
-    kept = rows.withColumn("full", full).filter(
+    kept = once(rows, full=full).filter(
         (F.col("full") != "") & F.col("full").rlike(f"(?iu){V.FORUM_WORDS}") & ~F.coalesce("over_18", F.lit(False))
     )
     return _post(
@@ -291,10 +291,11 @@ def normalise_news(df: DataFrame, as_of: dt.datetime) -> DataFrame:
     published, publisher); the first fifteen entries of each fetch."""
     entries = F.explode(F.slice("entries", 1, V.NEWS_ENTRIES_PER_FEED))
     rows = df.select("hint", entries.alias("e")).select("hint", "e.*")
-    read = rows.withColumns(
-        {"head": clean_html(F.coalesce("title", F.lit(""))), "body": clean_html(F.coalesce("summary", F.lit("")))}
+    read = once(
+        rows, head=clean_html(F.coalesce("title", F.lit(""))), body=clean_html(F.coalesce("summary", F.lit("")))
     ).filter("head <> '' AND coalesce(link, '') <> ''")
-    hay = F.lower(F.concat_ws(" ", "head", "body"))
+    read = once(read, hay=F.lower(F.concat_ws(" ", "head", "body")))
+    hay = F.col("hay")
     category = None
     for name, words in V.NEWS_WORDS:
         hit = F.lit(False)
