@@ -6,7 +6,7 @@ from importlib import import_module
 
 from skyledger.catalog import core
 
-_GROUPS = ["reporting", "tables", "places"]
+_GROUPS = ["reporting", "tables", "places", "signals"]
 
 
 def _load() -> None:

@@ -32,6 +32,15 @@ class Inputs:
     def derived(self, name: str) -> DataFrame:
         return fixtures.derive(self.spark, self.sf_dir, name)
 
+    @staticmethod
+    def spread(df: DataFrame) -> DataFrame:
+        """Use all cores for heavy row work on a table of very few file splits.
+
+        Large tables have many splits and are left as they are.
+        """
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     @cached_property
     def reports(self) -> DataFrame:
         return self.derived("reports").withColumn("hashtags", F.split("hashtags_csv", ",")).drop("hashtags_csv")

@@ -107,14 +107,14 @@ _ALIASED = f"""SELECT text, arg_min(place, struct_pack(a := tier, b := ord)) AS
 @query("d8_city_in_text", ["reports"], "SELECT t.report_id, f.city FROM texts t LEFT JOIN found f ON t.text = f.text",
        extra={**DIMS, "texts": _TEXTS, "found": _IN_TEXT})
 def _(x: Inputs):
-    df = G.city_in_text(x.sql(["reports"], _TEXTS), Gazetteer.seed(x.spark), F.col("text"))
+    df = G.city_in_text(x.spread(x.sql(["reports"], _TEXTS)), Gazetteer.seed(x.spark), F.col("text"))
     return df.select("report_id", F.col("named.city").alias("city"))
 
 
 @query("d9_alias_in_text", ["reports"], "SELECT t.report_id, f.place, f.state FROM texts t LEFT JOIN found f ON t.text = f.text",
        extra={**DIMS, "texts": _TEXTS, "found": _ALIASED})
 def _(x: Inputs):
-    df = G.alias_in_text(x.sql(["reports"], _TEXTS).drop("state"), Gazetteer.seed(x.spark), F.col("text"))
+    df = G.alias_in_text(x.spread(x.sql(["reports"], _TEXTS).drop("state")), Gazetteer.seed(x.spark), F.col("text"))
     return df.select("report_id", F.col("aliased.city").alias("place"), F.col("aliased.state").alias("state"))
 
 
@@ -135,7 +135,7 @@ _POSTS = f"""SELECT t.report_id, t.text, CASE WHEN t.report_id % 4 = 1 THEN t.la
        extra={**DIMS, "texts": _TEXTS, "posts": _POSTS, "near": nearest("posts", "report_id", "s.lat", "s.lon"),
               "found": resolved("posts", "city_hint", "CASE n.name WHEN 'Hyderabaad' THEN 'Hyderabad' END"), "in_text": _IN_TEXT, "aliased": _ALIASED})
 def _(x: Inputs):
-    df = G.geocode(x.sql(["reports"], _POSTS), Gazetteer.seed(x.spark))
+    df = G.geocode(x.spread(x.sql(["reports"], _POSTS)), Gazetteer.seed(x.spark))
     return df.select("report_id", "lat", "lon", "city", "district", "state", "geocode_method")
 
 
@@ -192,7 +192,7 @@ def _clean_sql(column: str) -> str:
 
 @query("b13_clean_html", None, f"SELECT page_id, {_clean_sql('html')} AS text FROM pages")
 def _(x: Inputs):
-    return x.table("pages").select("page_id", X.clean_html(F.col("html")).alias("text"))
+    return x.spread(x.table("pages")).select("page_id", X.clean_html(F.col("html")).alias("text"))
 
 
 # -- feeds ------------------------------------------------------------------
@@ -338,7 +338,7 @@ _TIMELINE = """SELECT report_id, 'https://example.social' AS instance, 'rain' AS
    'https://example.social/i,https://example.social/p' AS media FROM reports
    WHERE report_id % 10 = 0 OR (report_id % 5 <> 0 AND regexp_matches(text, '(?i)rain|flood|storm|cyclone|heat|fog|hail|wind|weather|monsoon|thunder|lightning|waterlog|मौसम|बारिश|बाढ़|तूफान|चक्रवात|ओला|कोहरा'))""")
 def _(x: Inputs):
-    posts = feeds.normalise_timeline(x.sql(["reports"], _TIMELINE), AS_OF)
+    posts = feeds.normalise_timeline(x.spread(x.sql(["reports"], _TIMELINE)), AS_OF)
     return posts.select(
         "external_id", "text", "source_url", "author", F.array_join("hashtags", ",").alias("hashtags"), F.array_join("media_urls", ",").alias("media")
     )
@@ -356,7 +356,7 @@ _TITLE = "CASE WHEN report_id % 4 = 0 THEN 'Photo of the day' ELSE text END"
    SELECT report_id, concat({_TITLE}, chr(10), CASE WHEN report_id % 3 = 0 THEN 'Seen near the river' ELSE {_TITLE} END) AS text FROM reports WHERE report_id % 8 <> 1) s
    WHERE regexp_matches(text, '(?i){V.FORUM_WORDS}')""")
 def _(x: Inputs):
-    posts = feeds.normalise_forum(x.sql(["reports"], _LISTINGS))
+    posts = feeds.normalise_forum(x.spread(x.sql(["reports"], _LISTINGS)))
     return posts.select("external_id", "text", "source_url", "author", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"))
 
 
@@ -385,7 +385,7 @@ def _(x: Inputs):
             dates[i % 4].alias("published"), F.lit("Daily" if i % 3 == 0 else None).cast("string").alias("publisher"),
         )
 
-    feed = x.reports.select("report_id", F.lit("rainfall").alias("hint"), F.array(*[entry(i) for i in range(17)]).alias("entries"))
+    feed = x.spread(x.reports.select("report_id", "text")).select("report_id", F.lit("rainfall").alias("hint"), F.array(*[entry(i) for i in range(17)]).alias("entries"))
     posts = feeds.normalise_news(feed, AS_OF)
     return posts.select(
         "external_id", "text", "author", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"),

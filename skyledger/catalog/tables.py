@@ -38,7 +38,7 @@ _CHECKED = {"checked": f"SELECT *, {_ERRORS_SQL} AS errors FROM messages"}
   CASE WHEN report_id % 3 = 0 THEN '#IMD,#Rain' ELSE '' END AS hashtags, {_g('city_hint')} AS city_hint,
   CASE WHEN report_id % 5 = 0 THEN '{{"channel":"sms"}}' END AS extra FROM checked WHERE errors = ''""", extra=_CHECKED)
 def _(x: Inputs):
-    good, _dead = C.raw_contract(x.derived("messages"))
+    good, _dead = C.raw_contract(x.spread(x.derived("messages")))
     return good.select(
         "report_id", "source", "external_id", "text", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), "lat",
         F.array_join("hashtags", ",").alias("hashtags"), "city_hint", "extra",
@@ -48,7 +48,7 @@ def _(x: Inputs):
 @query("a7_contract_split", ["messages"], """SELECT 'weather.raw.posts' AS topic, 'raw' AS stage,
   substring(concat('ValidationError: ', errors), 1, 2000) AS error, value AS payload FROM checked WHERE errors <> ''""", extra=_CHECKED)
 def _(x: Inputs):
-    _good, dead = C.raw_contract(x.derived("messages"))
+    _good, dead = C.raw_contract(x.spread(x.derived("messages")))
     return dead
 
 

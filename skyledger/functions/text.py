@@ -30,11 +30,8 @@ def _unescape_rare():
 
 def unescape_html(col: Column) -> Column:
     """Decode entities; only rows holding an uncommon one are sent to Python."""
-    plain = col
-    for entity, char in COMMON_ENTITIES:
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
     rare = col.rlike(_OTHER_ENTITY)
-    return F.when(rare, _unescape_rare()(F.when(rare, col))).otherwise(plain)
+    return F.when(rare, _unescape_rare()(F.when(rare, col))).otherwise(unescape_common(col))
 
 
 def unescape_common(col: Column) -> Column:
@@ -49,18 +46,25 @@ def strip(col: Column) -> Column:
 
 
 def clean_html(col: Column, unescape=unescape_html) -> Column:
-    t = F.regexp_replace(col, r"(?iU)<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"(?i)</p>|</div>|</li>", "\n")
-    t = F.regexp_replace(t, r"<[^>]+>", " ")
-    t = unescape(t)
-    t = F.regexp_replace(t, r"[ \t]+", " ")
+    """Plain text of an HTML fragment.
+
+    Text without a tag or an entity skips those steps; the blank pattern only
+    matches runs that change.
+    """
+    tags = F.regexp_replace(col, r"(?iU)<br\s*/?>|</p>|</div>|</li>", "\n")
+    tags = F.regexp_replace(tags, r"<[^>]+>", " ")
+    t = F.when(F.contains(col, F.lit("<")), tags).otherwise(col)
+    t = F.when(F.contains(col, F.lit("&")), unescape(t)).otherwise(t)
+    t = F.regexp_replace(t, r"\t[ \t]*| [ \t]+", " ")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     return strip(t)
 
 
 def norm_text(col: Column) -> Column:
     """Comparison form: lower case, no links, only a-z, digits, Devanagari."""
-    t = F.regexp_replace(F.lower(col), r"(?iU)https?://\S+|www\.\S+", " ")
+    low = F.lower(col)
+    linked = F.contains(low, F.lit("://")) | F.contains(low, F.lit("www."))
+    t = F.when(linked, F.regexp_replace(low, r"(?U)https?://\S+|www\.\S+", " ")).otherwise(low)
     return F.trim(F.regexp_replace(t, f"[^a-z0-9{V.DEVANAGARI}]+", " "))
 
 
