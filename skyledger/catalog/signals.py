@@ -65,18 +65,18 @@ def _(x: Inputs):
     return sets.join(after, "doc_id").select("doc_id", X.jaccard(F.col("s"), F.col("s2")).alias("jaccard"))
 
 
-_ARRIVED = """SELECT concat('doc:', CAST(doc_id AS VARCHAR(20))) AS key, text, TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL '1' HOUR AS at FROM documents
+_ARRIVED = """SELECT concat('doc:', CAST(doc_id AS VARCHAR(20))) AS key, text, TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL '1' HOUR AS seen_at FROM documents
   UNION ALL SELECT concat(source, ':', external_id), text, observed_at FROM reports"""
-_OWNERS = f"""WITH RECURSIVE posts AS MATERIALIZED (SELECT key, sha256({_NORM}) AS digest, at FROM arrived),
-  own AS (SELECT digest, min(struct_pack(at := at, key := key)) AS o FROM posts GROUP BY digest
-   UNION ALL SELECT p.digest, min(struct_pack(at := p.at, key := p.key)) FROM own w JOIN posts p ON p.digest = w.digest AND p.at >= w.o.at + INTERVAL 7 DAY GROUP BY p.digest)
-  SELECT p.key, p.at, CASE WHEN w.o.key <> p.key THEN w.o.key END AS duplicate_of FROM posts p JOIN own w ON p.digest = w.digest
-   AND p.at >= w.o.at AND p.at < w.o.at + INTERVAL 7 DAY"""
+_OWNERS = f"""WITH RECURSIVE posts AS (SELECT key, sha256({_NORM}) AS digest, seen_at FROM arrived),
+  own AS (SELECT digest, min(struct_pack(t := seen_at, k := key)) AS o FROM posts GROUP BY digest
+   UNION ALL SELECT p.digest, min(struct_pack(t := p.seen_at, k := p.key)) FROM own w JOIN posts p ON p.digest = w.digest AND p.seen_at >= w.o.t + INTERVAL 7 DAY GROUP BY p.digest)
+  SELECT p.key, p.seen_at, CASE WHEN w.o.k <> p.key THEN w.o.k END AS duplicate_of FROM posts p JOIN own w ON p.digest = w.digest
+   AND p.seen_at >= w.o.t AND p.seen_at < w.o.t + INTERVAL 7 DAY"""
 
 
 def _exact(x: Inputs):
-    posts = x.spread(x.sql(["reports"], _ARRIVED)).select("key", "at", X.content_hash(X.norm_text(F.col("text"))).alias("digest"))
-    return D.exact_duplicates(posts).select("key", "at", "duplicate_of")
+    posts = x.spread(x.sql(["reports"], _ARRIVED)).select("key", F.col("seen_at").alias("at"), X.content_hash(X.norm_text(F.col("text"))).alias("digest"))
+    return D.exact_duplicates(posts).select("key", F.col("at").alias("seen_at"), "duplicate_of")
 
 
 @query("e7_exact", ["reports"], f"SELECT * FROM ({_OWNERS}) o", extra={"arrived": _ARRIVED})
