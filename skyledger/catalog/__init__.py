@@ -6,7 +6,7 @@ from importlib import import_module
 
 from skyledger.catalog import core
 
-_GROUPS = ["reporting", "tables", "places", "signals"]
+_GROUPS = ["reporting", "tables", "places", "signals", "streams"]
 
 
 def _load() -> None:

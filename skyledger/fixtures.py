@@ -157,13 +157,19 @@ def derive(spark: SparkSession, sf_dir: str, name: str, body: str | None = None)
     return run_sql(spark, sf_dir, with_sql([name] if name else [], body or f"SELECT * FROM {name}"))
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a file stream."""
+    shape = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(shape).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, stream: bool = False) -> DataFrame:
     """Run a statement over the given tables through per-folder views."""
-    tag = re.sub(r"\W", "_", sf_dir.strip("/"))
+    tag = ("stream_" if stream else "") + re.sub(r"\W", "_", sf_dir.strip("/"))
     for name in TABLES:
         reads = re.compile(rf"\b(FROM|JOIN) {name}\b")
         if reads.search(sql):
             view = f"{name}__{tag}"
-            table(spark, sf_dir, name).createOrReplaceTempView(view)
+            (table_stream if stream else table)(spark, sf_dir, name).createOrReplaceTempView(view)
             sql = reads.sub(rf"\1 {view}", sql)
     return spark.sql(sql)

@@ -30,6 +30,19 @@ _PLACE_TYPE = "struct<city:string,state:string,district:string,lat:double,lon:do
 _NAMES_TYPE = "array<struct<name:string,place:" + _PLACE_TYPE + ">>"
 
 
+LOCAL_ROWS_MAX = 20_000
+
+_seeds: dict[str, Gazetteer] = {}
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """A small lookup table as plain local rows, computed once; Spark then knows
+    its size and need not build it again in every query.  A larger table stays
+    the query it is."""
+    rows = df.limit(LOCAL_ROWS_MAX + 1).collect()
+    return df if len(rows) > LOCAL_ROWS_MAX else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 @dataclass(frozen=True, eq=False)
 class Gazetteer:
     """Cities in file order (``ord`` and the place columns) and normalised aliases."""
@@ -39,7 +52,10 @@ class Gazetteer:
 
     @staticmethod
     def seed(spark: SparkSession) -> Gazetteer:
-        return Gazetteer(dims.seed_cities(spark), dims.seed_aliases(spark))
+        app = spark.sparkContext.applicationId
+        if app not in _seeds:
+            _seeds[app] = Gazetteer(dims.seed_cities(spark), _settled(dims.seed_aliases(spark)))
+        return _seeds[app]
 
     @cached_property
     def by_name(self) -> DataFrame:
@@ -72,7 +88,14 @@ class Gazetteer:
             F.max_by("place", F.when(F.col("tier") == 0, F.col("pos"))).alias("own"),
             F.min_by("place", F.when(F.col("tier") == 1, F.col("pos"))).alias("alias"),
         )
-        return merged.select("key", "pos", F.coalesce("own", "alias").alias("place"))
+        return _settled(merged.select("key", "pos", F.coalesce("own", "alias").alias("place")))
+
+    @cached_property
+    def starts(self) -> DataFrame:
+        """Every beginning of a key -> the first key that starts so."""
+        hit = F.struct("pos", "place")
+        rows = self.lookup.select(_beginnings().alias("start"), "pos", "place")
+        return _settled(rows.groupBy("start").agg(F.min_by(hit, "pos").alias("longer")))
 
     @cached_property
     def states(self) -> DataFrame:
@@ -84,7 +107,8 @@ class Gazetteer:
             norm_place(F.col("state")).alias("key"), F.col("state").alias("found"),
             F.struct(F.lit(1).alias("tier"), "ord").alias("rank"),
         )
-        return alias.unionByName(own).filter("key <> ''").groupBy("key").agg(F.min_by("found", "rank").alias("state_found"))
+        both = alias.unionByName(own).filter("key <> ''")
+        return _settled(both.groupBy("key").agg(F.min_by("found", "rank").alias("state_found")))
 
     @cached_property
     def text_names(self) -> list[tuple[bool, DataFrame]]:
@@ -142,7 +166,11 @@ class Gazetteer:
             ])
         )
         placed = self.cities.select(F.struct("ord", *PLACE).alias("c"), near.alias("cell"))
-        return placed.groupBy("cell.cell_y", "cell.cell_x").agg(F.array_sort(F.collect_list("c")).alias("around"))
+        return _settled(placed.groupBy("cell.cell_y", "cell.cell_x").agg(F.array_sort(F.collect_list("c")).alias("around")))
+
+
+def _beginnings() -> Column:
+    return F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substring("key", F.lit(1), i)))
 
 
 def _state_place(state: Column) -> Column:
@@ -182,16 +210,14 @@ def resolve_names(names: DataFrame, gaz: Gazetteer, fuzzy: bool = True) -> DataF
     keyed = names.select("name", norm_place(F.col("name")).alias("key")).filter("key <> ''")
     exact = keyed.join(gaz.lookup.select("key", F.col("place").alias("exact")), "key", "left")
 
-    starts = F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substring("key", F.lit(1), i)))
     hit = F.struct("pos", "place")
-    longer = gaz.lookup.select(starts.alias("start"), "pos", "place").groupBy("start").agg(F.min_by(hit, "pos").alias("longer"))
     rest = exact.filter("exact IS NULL")
     shorter = (
-        rest.select("key").distinct().select("key", starts.alias("start"))
+        rest.select("key").distinct().select("key", _beginnings().alias("start"))
         .join(gaz.lookup.select(F.col("key").alias("start"), "pos", "place"), "start")
         .groupBy("key").agg(F.min_by(hit, "pos").alias("shorter"))
     )
-    tried = rest.join(longer.withColumnRenamed("start", "key"), "key", "left").join(shorter, "key", "left")
+    tried = rest.join(gaz.starts.withColumnRenamed("start", "key"), "key", "left").join(shorter, "key", "left")
     first = F.array_min(F.array_compact(F.array("longer", "shorter")))
     tried = tried.select("name", "key", first["place"].alias("place"))
     parts = [exact.filter("exact IS NOT NULL").select("name", F.col("exact").alias("place"))]
