@@ -65,7 +65,7 @@ def _(x: Inputs):
     return sets.join(after, "doc_id").select("doc_id", X.jaccard(F.col("s"), F.col("s2")).alias("jaccard"))
 
 
-_ARRIVED = """SELECT concat('doc:', CAST(doc_id AS VARCHAR(20))) AS key, text, TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL '1' HOUR AS seen_at FROM documents
+_ARRIVED = """SELECT concat('doc:', CAST(doc_id AS VARCHAR(20))) AS key, text, TIMESTAMP '2024-01-01 00:00:00' + (doc_id % 720) * INTERVAL '1' HOUR AS seen_at FROM documents
   UNION ALL SELECT concat(source, ':', external_id), text, observed_at FROM reports"""
 _OWNERS = f"""WITH RECURSIVE posts AS (SELECT key, sha256({_NORM}) AS digest, seen_at FROM arrived),
   own AS (SELECT digest, min(struct_pack(t := seen_at, k := key)) AS o FROM posts GROUP BY digest
