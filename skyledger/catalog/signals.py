@@ -156,8 +156,8 @@ def _claims(x: Inputs):
 
 @query("f1_rule_hits", ["reports"], "SELECT report_id, concat_ws(',', " + ", ".join(f"CASE WHEN r{i} THEN '{i}' END" for i in _RULE) + ") AS hits FROM hit", extra=_F)
 def _(x: Inputs):
-    hits = F.transform(C.rule_hits(F.col("text")), lambda i: i.cast("string"))
-    return _claims(x).select("report_id", F.array_join(hits, ",").alias("hits"))
+    hits = F.transform(C.rule_hits(F.col("text"), folded=F.col("folded")), lambda i: i.cast("string"))
+    return _claims(x).withColumn("folded", C.fold(F.col("text"))).select("report_id", F.array_join(hits, ",").alias("hits"))
 
 
 @query("f2_scores", ["reports"], "SELECT report_id, " + ", ".join(f"round(s_{g}, 2) AS {g}" for g in _GROUPS) + ", 0e0 AS other FROM scored", extra=_F)
@@ -210,13 +210,13 @@ def _(x: Inputs):
 
 @query("g2_lexicon", ["reports"], f"SELECT report_id, {_DELTA} AS delta, {_LEX_TERMS} AS terms FROM claims", extra=_G)
 def _(x: Inputs):
-    hits = R.lexicon_hits(F.col("text"))
-    return _claims(x).select("report_id", R.lexicon_delta(hits).alias("delta"), F.array_join(R.lexicon_terms(hits), ",").alias("terms"))
+    hits = R.lexicon_hits(F.col("low"))
+    return _claims(x).withColumn("low", F.lower("text")).select("report_id", R.lexicon_delta(hits).alias("delta"), F.array_join(R.lexicon_terms(hits), ",").alias("terms"))
 
 
 @query("g3_text_features", ["reports"], "SELECT report_id, caps AS caps_ratio, marks AS exclamation_count, repeated AS repeated_token, url AS has_url, official AS official_domain, chars AS text_length FROM feat", extra=_G)
 def _(x: Inputs):
-    return _claims(x).select("report_id", R.text_features(F.col("text")).alias("f")).select("report_id", "f.*")
+    return _claims(x).select("report_id", R.text_features(F.col("text"), F.lower("text")).alias("f")).select("report_id", "f.*")
 
 
 @query("g4_score", ["reports"], f"SELECT report_id, {_SCORE} AS credibility_score FROM feat", extra=_G)
