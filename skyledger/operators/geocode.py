@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from skyledger import fixed_values as V
 from skyledger.functions.geo import flat_metric
+from skyledger.functions.plan import once
 from skyledger.functions.text import norm_place
 from skyledger.sources import dims
 
@@ -276,8 +277,8 @@ def _contained_by_gram(df: DataFrame, text: Column, names: DataFrame, out: str)
     Names shorter than a gram cannot occur (the lists start at four characters).
     """
     texts = df.select(text.alias("_t")).filter("_t IS NOT NULL").distinct()
-    grams = F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))))
-    probe = texts.select("_t", grams.alias("gram"))
+    grams = F.array_distinct(F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    probe = once(texts, _g=grams).select("_t", F.explode("_g").alias("gram"))
     keyed = names.withColumn("gram", F.substring("name", 1, GRAM))
     hits = probe.join(keyed, "gram").filter(F.contains("_t", F.col("name")))
     first = hits.groupBy("_t").agg(F.min_by("place", F.col("rank")).alias(out))
