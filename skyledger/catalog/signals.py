@@ -1,14 +1,13 @@
-"""Duplicates, classification, credibility, plausibility, search, language."""
+"""Duplicates, classification, credibility, plausibility."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from skyledger import fixed_values as V
-from skyledger.catalog.core import AS_OF, Inputs, iso_sql, query
+from skyledger.catalog.core import Inputs, iso_sql, query
 from skyledger.functions import geo, text as X
-from skyledger.operators import classify as C, credibility as R, dedup as D, language as LG, merge as M, ops as O, plausibility as P, search as S
-from skyledger.operators.geocode import Gazetteer
+from skyledger.operators import classify as C, credibility as R, dedup as D, ops as O, plausibility as P
 from skyledger.plans import enrich as E
 
 

@@ -12,7 +12,7 @@ from skyledger.catalog.reporting import rollup_sql
 from skyledger.operators import language as LG, search as S
 from skyledger.operators.geocode import Gazetteer
 from skyledger.session import scratch_path
-from skyledger.sources import dims, feeds, media
+from skyledger.sources import dims, media
 from skyledger.streaming import stream as ST
 
 _NOW = dt.datetime(2024, 2, 1)

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger import fixed_values as V
-from skyledger.functions.numbers import round_exact  # noqa: F401  (re-exported for callers)
 from skyledger.functions.times import bound, iso_utc, ts_literal
 
 SORT_COLUMNS = ("observed_at", "ingested_at", "credibility_score")

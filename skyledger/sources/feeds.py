@@ -15,7 +15,7 @@ from skyledger.functions.json import empty_object, json_object, without
 from skyledger.functions.numbers import fixed
 from skyledger.functions.plan import once
 from skyledger.functions.text import clean_html, slug, strip
-from skyledger.operators.geocode import Gazetteer, find_city, nearest_city, priority_cities
+from skyledger.operators.geocode import Gazetteer, find_city, nearest_city
 
 POST = [
     "source", "external_id", "text", "source_url", "author", "observed_at", "hashtags", "lat", "lon", "city_hint",
