@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from skyledger.llm import linededup, mixing, sharding, tokencount, tokenpack
+from skyledger.llm import decontam, langid, linededup, mixing, sharding, tokencount, tokenpack
 from skyledger.llm.common import table
 
 QUERIES = {
     "op2_token_blocks": lambda spark, sf_dir: tokenpack.round_trip(table(spark, sf_dir, "documents")),
     "op3_line_dedup": lambda spark, sf_dir: linededup.digest(table(spark, sf_dir, "documents")),
+    "op4_language_id": lambda spark, sf_dir: langid.predict(table(spark, sf_dir, "documents")),
     "op5_sharding": lambda spark, sf_dir: sharding.shard_rows(table(spark, sf_dir, "documents")),
+    "op6_decontamination": lambda spark, sf_dir: decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op7_token_counts": lambda spark, sf_dir: tokencount.count_tokens(table(spark, sf_dir, "documents")),
     "op9_mixing": lambda spark, sf_dir: mixing.mix(table(spark, sf_dir, "documents")),
 }
 
 ORACLES = {
     "op3_line_dedup": linededup.SQL,
+    "op6_decontamination": decontam.SQL,
     "op9_mixing": mixing.SQL,
 }
