@@ -33,14 +33,13 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.to_pylist()
 
 
-def slices(texts: list[bytes | None], limit: int):
-    """Consecutive (from, to) row ranges of about ``limit`` bytes; a longer text is a range of its own."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        here = len(text) if text else 0
-        if i > start and size + here > limit:
+def slices(sizes: list[int], limit: int):
+    """Consecutive (from, to) row ranges of about ``limit`` bytes; a longer row is a range of its own."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > limit:
             yield start, i
-            start, size = i, 0
-        size += here
-    if start < len(texts):
-        yield start, len(texts)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)

@@ -35,7 +35,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for count in range(2, int(COUNTS[lowest] if lowest < len(WIDTHS) else 1) + 1):
         window = np.maximum(window[:-1], top[count - 1 :])
         if count in by_count:
-            choice[window[:n] <= by_count[count]] = by_count[count]
+            fits = window[:n] <= by_count[count]
+            if n > 60 and not fits[: n - 60].any():
+                break  # no larger group fits either, but for the end of the block
+            choice[fits] = by_count[count]
     step = COUNTS[choice].tolist()
     at, i = [], 0
     while i < n:

@@ -139,10 +139,10 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
         count = counter(path)
         for batch in batches:
             texts = text_bytes(batch.column("text"))
-            for lo, hi in slices(texts, SLICE_BYTES):
-                here = texts[lo:hi]
-                n = pa.array(count([t.decode("utf-8", "replace") if t else None for t in here]), pa.int64())
-                size = pa.array([len(t) if t else 0 for t in here], pa.int64())
+            sizes = [len(t) if t else 0 for t in texts]
+            for lo, hi in slices(sizes, SLICE_BYTES):
+                n = pa.array(count([t.decode("utf-8", "replace") if t else None for t in texts[lo:hi]]), pa.int64())
+                size = pa.array(sizes[lo:hi], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), size, n], names=["doc_id", "n_bytes", "n_tokens"])
 
     counted = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint")

@@ -7,6 +7,8 @@ has; with these offsets any block decodes on its own.  The blocks are rows of a
 
 from __future__ import annotations
 
+import gc
+import itertools
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,26 +16,28 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tokenizers import Tokenizer
 
 from skyledger.llm import simple8b
-from skyledger.llm.common import slices, text_bytes
+from skyledger.llm.common import slices
 from skyledger.session import scratch_path
 
 END_ID = 1
 #: A block closes with the document that brings it to so many ids.
 BLOCK_IDS = 65_536
-#: Text that is tokenized at once, and words whose ids a task remembers.
-SLICE_BYTES = 4_000_000
-REMEMBERED = 500_000
+#: Text that is tokenized at once, and pieces whose ids a task remembers.
+SLICE_BYTES = 12_000_000
+REMEMBERED = 800_000
 
 BLOCK = "part int, block int, ids_before bigint, n_ids bigint, doc_ids array<bigint>, doc_ids_n array<bigint>, words binary, escaped binary"
 
 # fixed values: what the file's pre-tokenizer does after folding case; \s written out as its engine has it below U+0250
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
+# and with the line ends between words as pieces of their own
+_PIECES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
 #: Above this code point (composition, other alphabets) and for special tokens, the library takes the word as a whole.
 _PLAIN = regex.compile(r"[^\u0250-\U0010ffff]*")
 
@@ -45,11 +49,32 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Store:
+    """Runs of ids by number: run i is ``ids[start[i] : start[i] + length[i]]``."""
+
+    def __init__(self, lengths: np.ndarray, ids: np.ndarray):
+        self.length, self.ids = lengths, ids
+        self.start = np.cumsum(lengths) - lengths
+
+    def gather(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of the given runs in a row; where each run ends)"""
+        length = self.length[runs]
+        ends = np.cumsum(length)
+        place = np.repeat(self.start[runs] - (ends - length), length)
+        place += np.arange(len(place))
+        return self.ids[place], ends
+
+    def more(self, found: list[list[int]]) -> Store:
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(length.sum()))
+        return Store(np.concatenate([self.length, length]), np.concatenate([self.ids, flat]))
+
+
 class WordIds:
-    """Ids of whole texts through a table of words between blanks, filled by the tokenizers library.
+    """Ids of whole texts by way of their distinct words between blanks.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words.  A word's pieces go through the
-    library's model one by one; words with rarer characters or special tokens go through its whole chain.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words.  The pieces of the words go through
+    the library's model, and their ids are remembered; words with rarer characters or special tokens go through its whole chain.
     """
 
     def __init__(self, path: str):
@@ -59,54 +84,77 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _word(self, word: bytes, pieces: dict[str, list[int]]) -> list[int]:
-        text = word.decode("utf-8", "replace")
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.specials):
-            return self.library.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in _PIECES.findall(text.lower()):
-            if piece not in pieces:
-                stand_in = piece.encode().decode("latin-1").translate(self.letters)
-                pieces[piece] = [t.id for t in self.library.model.tokenize(stand_in)]
-            out += pieces[piece]
-        return out
-
-    def _learn(self, new: set[bytes]) -> None:
-        pieces: dict[str, list[int]] = {}
-        found = [self._word(w, pieces) for w in new]
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        base = len(self.slot)
-        self.slot.update((w, base + i) for i, w in enumerate(new))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(length.sum()))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
-        self.length, self.ids = np.concatenate([self.length, length]), np.concatenate([self.ids, flat])
+        self.slot: dict[str, int] = {"\n": 0, ".": 1, ",": 2}
+        self.pieces = Store(np.zeros(1, np.int64), np.zeros(0, np.uint32)).more(self._tokenize([".", ","]))
 
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, each with its end id; ids per text)"""
-        words = [t.split() if t else [] for t in texts]
-        flat = [w for ws in words for w in ws]
-        new = set(flat)
-        new.difference_update(self.slot)
+    def _tokenize(self, pieces: list[str]) -> list[list[int]]:
+        stand_ins = "\n".join(pieces).encode().decode("latin-1").translate(self.letters).split(self.letters[ord("\n")])
+        return [[t.id for t in tokens] for tokens in map(self.library.model.tokenize, stand_ins)]
+
+    def _slots(self, *coded: pa.DictionaryArray) -> list[np.ndarray]:
+        """The slots of pieces, after learning those that are new."""
+        distinct = [c.dictionary.to_pylist() for c in coded]
+        new = {p for ps in distinct for p in ps if p not in self.slot}
         if len(self.slot) + len(new) > REMEMBERED:
             self.clear()
-            new = set(flat)
+            new = {p for ps in distinct for p in ps if p not in self.slot}
         if new:
-            self._learn(new)
-        # an end mark follows each text: one more slot, after those of all words
-        ends = np.cumsum(np.fromiter((len(ws) + 1 for ws in words), np.int64, len(words))) - 1
-        slots = np.empty(len(flat) + len(words), np.int64)
-        is_end = np.zeros(len(slots), bool)
+            base = len(self.slot)
+            self.slot.update((p, base + i) for i, p in enumerate(new))
+            self.pieces = self.pieces.more(self._tokenize(list(new)))
+        slots = [np.fromiter(map(self.slot.__getitem__, ps), np.int64, len(ps)) for ps in distinct]
+        return [s[c.indices.to_numpy(zero_copy_only=False)] for s, c in zip(slots, coded)]
+
+    def _plain(self, joined: str) -> Store:
+        """A run for every line of ``joined``; most are letters and perhaps a full stop or comma, which need no pattern."""
+        words = pc.split_pattern(pa.array([joined.lower()]), "\n").flatten()
+        letters = pc.utf8_rtrim(words, ".,")
+        cut = (pc.binary_length(words).to_numpy() - pc.binary_length(letters).to_numpy()).astype(np.int64)
+        simple = pc.utf8_is_alpha(letters).to_numpy(zero_copy_only=False) & (cut <= 1)
+        mark = np.where(cut == 0, 0, np.where(pc.ends_with(words, ".").to_numpy(zero_copy_only=False), 1, 2))
+        rest = "\n".join([*words.filter(pa.array(~simple)).to_pylist(), ""])
+        head, found = self._slots(letters.filter(pa.array(simple)).dictionary_encode(), pa.array(_PIECES.findall(rest), pa.string()).dictionary_encode())
+        runs = np.zeros(len(found) + 2 * len(head), np.int64)
+        runs[: 2 * len(head)] = np.stack([head, mark[simple]], 1).ravel()
+        runs[2 * len(head) :] = found
+        ids, ends = self.pieces.gather(runs)
+        word_ends = np.concatenate([ends[1 : 2 * len(head) : 2], ends[2 * len(head) :][found == 0]])
+        both = Store(np.diff(word_ends, prepend=0), ids)
+        order = np.empty(len(words), np.int64)
+        order[simple], order[~simple] = np.arange(len(head)), np.arange(len(head), len(words))
+        ids, ends = both.gather(order)
+        return Store(np.diff(ends, prepend=0), ids)
+
+    def _words(self, words: pa.Array) -> Store:
+        """A run for every word."""
+        if not len(words):
+            return Store(np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py()
+        if _PLAIN.fullmatch(joined) and not any(s in joined for s in self.specials):
+            return self._plain(joined)
+        listed = joined.split("\n")
+        rare = [i for i, w in enumerate(listed) if not _PLAIN.fullmatch(w) or any(s in w for s in self.specials)]
+        found = [self.library.encode(listed[i], add_special_tokens=False).ids for i in rare]
+        for i in rare:
+            listed[i] = ""  # has no ids; those found follow the last line
+        both = self._plain("\n".join(listed)).more(found)
+        order = np.arange(len(listed))
+        order[rare] = np.arange(len(listed), len(listed) + len(rare))
+        ids, ends = both.gather(order)
+        return Store(np.diff(ends, prepend=0), ids)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each with its end id; ids per text)"""
+        split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        words = self._words(coded.dictionary)
+        # the end mark is one more word, after those of each text
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False) + 1) - 1
+        is_end = np.zeros(len(coded) + len(texts), bool)
         is_end[ends] = True
-        slots[~is_end] = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
-        slots[is_end] = len(self.slot)
-        length = np.append(self.length, 1)[slots]
-        start = np.append(self.start, len(self.ids))[slots]
-        ends_at = np.cumsum(length)
-        place = np.repeat(start - (ends_at - length), length) + np.arange(int(ends_at[-1]) if len(ends_at) else 0)
-        ids = np.append(self.ids, np.uint32(END_ID))[place]
+        runs = np.empty(len(is_end), np.int64)
+        runs[is_end], runs[~is_end] = len(words.length), coded.indices.to_numpy(zero_copy_only=False)
+        ids, ends_at = words.more([[END_ID]]).gather(runs)
         return ids, np.diff(ends_at[ends], prepend=0)
 
 
@@ -118,6 +166,7 @@ def word_ids(path: str) -> WordIds:
 def _blocks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = word_ids(path), TaskContext.get().partitionId()
+        gc.freeze()  # the table of pieces is no garbage: don't scan it again and again
         schema = pa.schema(
             [("part", pa.int32()), ("block", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
              ("doc_ids_n", pa.list_(pa.int64())), ("words", pa.binary()), ("escaped", pa.binary())]
@@ -137,9 +186,9 @@ def _blocks(path: str):
             return pa.RecordBatch.from_pydict({f.name: [v] for f, v in zip(schema, row)}, schema=schema)
 
         for batch in batches:
-            texts, doc_ids = text_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
-            for lo, hi in slices(texts, SLICE_BYTES):
-                ids, n = encode(texts[lo:hi])
+            texts, doc_ids = batch.column("text"), batch.column("doc_id").to_pylist()
+            for lo, hi in slices(pc.binary_length(texts).fill_null(0).to_pylist(), SLICE_BYTES):
+                ids, n = encode(texts.slice(lo, hi - lo))
                 ends, done = np.cumsum(n), 0
                 while done < hi - lo:
                     # the first document that fills the open block closes it
