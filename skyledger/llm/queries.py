@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from skyledger.llm import decontam, langid, linededup, mixing, sharding, tokencount, tokenpack
+from skyledger.llm import decontam, langid, linededup, mixing, sharding, substring, tokencount, tokenpack
 from skyledger.llm.common import table
 
 QUERIES = {
+    "op1_substring_dedup": lambda spark, sf_dir: substring.digest(table(spark, sf_dir, "documents")),
     "op2_token_blocks": lambda spark, sf_dir: tokenpack.round_trip(table(spark, sf_dir, "documents")),
     "op3_line_dedup": lambda spark, sf_dir: linededup.digest(table(spark, sf_dir, "documents")),
     "op4_language_id": lambda spark, sf_dir: langid.predict(table(spark, sf_dir, "documents")),
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_substring_dedup": substring.SQL,
     "op3_line_dedup": linededup.SQL,
     "op6_decontamination": decontam.SQL,
     "op9_mixing": mixing.SQL,
