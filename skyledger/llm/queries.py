@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.llm import decontam, langid, linededup, mixing, sharding, substring, tokencount, tokenpack
+from skyledger.llm import ann, decontam, langid, linededup, mixing, sharding, simhash, substring, tokencount, tokenpack
 from skyledger.llm.common import table
 
 QUERIES = {
@@ -13,7 +13,9 @@ QUERIES = {
     "op5_sharding": lambda spark, sf_dir: sharding.shard_rows(table(spark, sf_dir, "documents")),
     "op6_decontamination": lambda spark, sf_dir: decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op7_token_counts": lambda spark, sf_dir: tokencount.count_tokens(table(spark, sf_dir, "documents")),
+    "op8_nearest": lambda spark, sf_dir: ann.nearest(table(spark, sf_dir, "embeddings")),
     "op9_mixing": lambda spark, sf_dir: mixing.mix(table(spark, sf_dir, "documents")),
+    "op10_simhash": lambda spark, sf_dir: simhash.near_duplicates(table(spark, sf_dir, "documents")),
 }
 
 ORACLES = {
