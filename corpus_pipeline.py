@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import mixing, sharding
+from skyledger.llm import decontam, langid, mixing, sharding, simhash
 from skyledger.llm.common import table
 from skyledger.session import scratch_path
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; texts without letters and texts no language explains go."""
+    return langid.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near-duplicates, that of the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a test item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the source weights ask for: documents repeated, cut or left out."""
     return mixing.take(docs)
@@ -19,7 +34,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(docs)
 
 
-STAGES = [("mixing", mix), ("sharding", shard)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
 #: The stages before sharding learn models and compare fingerprints, which SQL cannot express; tests compare them one by one.
 ORACLE_SQL = None
