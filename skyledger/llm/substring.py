@@ -172,7 +172,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     nor larger than any: such rows lose nothing and take nothing.  Rows that share a doc_id don't take from each other.  An empty
     table gives no rows.
     """
-    found = materialise(marks(anchors(docs, length, gram)), "marks")
+    found = materialise(marks(materialise(anchors(docs, length, gram), "anchors")), "marks")
     base = docs.select("doc_id", version(F.col("text")).alias("version"), "text")
     on = ["doc_id", "version"]
     # both joins keep all of ``base`` and no other column, so its shuffle is made once and read twice
