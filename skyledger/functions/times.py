@@ -8,7 +8,12 @@ from pyspark.sql import Column, functions as F
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO text with offset; the fraction appears only when it is not zero."""
+    """ISO text with offset; the fraction appears only when it is not zero.
+
+    Instants are shown in UTC whatever the session's zone; values without a
+    zone are UTC already.
+    """
+    ts = F.when(F.typeof(ts) == "timestamp", F.to_utc_timestamp(ts, F.current_timezone())).otherwise(ts)
     micros = F.date_format(ts, "SSSSSS")
     return F.concat(
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),

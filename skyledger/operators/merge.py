@@ -107,7 +107,9 @@ def merge_reports(target: DataFrame, batch: DataFrame, arrival: str, ingested_at
     Analysis columns take the last row of the batch; ``source_url`` and
     ``author`` keep the previous value when the new one is empty, ``media`` the
     first non-empty list; review columns and ``ingested_at`` are never touched.
-    The three dedup/geocode facts are written into ``raw``.
+    The three dedup/geocode facts are written into ``raw``.  ``duplicate_of``
+    becomes the id of the report that a duplicate points at, null if there is
+    none or the row is no duplicate.
     """
     extra = [c for c in ("credibility_features", "plausibility") if c in target.columns and c in batch.columns]
     replaced = ANALYSIS_COLUMNS + extra
@@ -128,7 +130,7 @@ def merge_reports(target: DataFrame, batch: DataFrame, arrival: str, ingested_at
     )
     incoming = folded.select(
         *KEY, *[F.col(f"last.{c}").alias(c) for c in replaced], *KEPT_IF_EMPTY, "media", F.to_json(facts_raw).alias("raw"),
-        F.lit(True).alias("_in"),
+        F.when(F.col("last.is_duplicate"), F.col("last.duplicate_of")).alias("_points_at"), F.lit(True).alias("_in"),
     )
     joined = target.alias("t").join(incoming.alias("b"), KEY, "full_outer")
     taken = F.col("_in").isNotNull()
@@ -153,7 +155,14 @@ def merge_reports(target: DataFrame, batch: DataFrame, arrival: str, ingested_at
             return F.when(is_new, stamp).otherwise(old).alias(c)
         return old.alias(c)
 
-    return joined.select(*[pick(c) for c in target.columns])
+    # a key of its own for rows that point nowhere, so that they spread
+    nowhere = F.concat(F.lit("\u0000"), report_key(F.col("source"), F.col("external_id")))
+    merged = joined.select(*[pick(c) for c in target.columns], F.coalesce("_points_at", nowhere).alias("_points_at"), taken.alias("_taken"))
+    if "duplicate_of" not in target.columns:
+        return merged.drop("_points_at", "_taken")
+    ids = merged.select(report_key(F.col("source"), F.col("external_id")).alias("_points_at"), F.col("id").cast(target.schema["duplicate_of"].dataType).alias("_original"))
+    resolved = F.when(F.col("_taken"), F.col("_original")).otherwise(F.col("duplicate_of")).alias("duplicate_of")
+    return merged.join(ids, "_points_at", "left").select(*[resolved if c == "duplicate_of" else c for c in target.columns])
 
 
 def resolve_duplicates(df: DataFrame, reports: DataFrame, id_column: str = "id") -> DataFrame:

@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-BULK_MAX = 200
 BULK_ENTITY_IDS = 50
 AUDIT_LIMIT_MAX = 1000
 RUNS_LIMIT_MAX = 500
@@ -80,9 +79,9 @@ def apply_bulk(
     reports: DataFrame, ids: DataFrame, status: str, note: str | None, reviewer: str, at: dt.datetime,
     id_column: str = "report_id",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One status for up to 200 ids (columns ``position``, id): the reports, a
-    one-row result (updated, missing, status) and one audit row."""
-    ids = ids.orderBy("position").limit(BULK_MAX)
+    """One status for all given ids (columns ``position``, id): the reports, a
+    one-row result (updated, missing, status) and one audit row.  The audit
+    row names the first ids in ``entity_id`` and lists them all in ``after``."""
     known = reports.select(id_column, F.lit(True).alias("_known"))
     marked = ids.join(known, id_column, "left")
     entry = F.struct("position", F.col(id_column).cast("string").alias("id"))
