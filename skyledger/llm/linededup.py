@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyledger.llm.common import BLANKS, lower_ascii
-from skyledger.session import scratch_path
+from skyledger.session import materialise, scratch_path
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
@@ -131,7 +131,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     largest doc_id of a line they all keep it.  A null doc_id is below all others; a line found under null ids only is kept
     there.  A line that occurs several times in its last document keeps all its places.  An empty table gives no rows.
     """
-    repeated = repeated_lines(docs, least_chars, least_docs, batches, fanout)
+    # written, so that the join shuffles both sides itself and Spark can split the places of a very common line
+    repeated = materialise(repeated_lines(docs, least_chars, least_docs, batches, fanout), "repeated-lines")
     places = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(keys_of(F.col("text"), least_chars)).alias("pos", "hash"))
     places = places.filter("hash IS NOT NULL").join(repeated, "hash").filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
     drops = places.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("drops"))  # no more than the lines of one text
