@@ -121,11 +121,12 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def marks(seeds: DataFrame) -> DataFrame:
     """doc_id, mark, whole: occurrences that repeat a smaller doc_id's as a whole, and owners whose windows are to be compared."""
     met = seeds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("extent").alias("low"), F.max("extent").alias("high"), F.min("doc_id").alias("least"))
-    met = seeds.join(met.filter("n > 1"), "anchor")
+    # the sums are written, so that the joins shuffle both sides themselves and Spark can split a very common anchor
+    met = seeds.join(materialise(met.filter("n > 1"), "met"), "anchor")
     one_kind = met.filter("low = high AND doc_id > least").select("doc_id", "mark", F.lit(True).alias("whole"))
     kinds = met.filter("low != high").select("anchor", "extent", "doc_id", "mark")
     owners = kinds.groupBy("anchor", "extent").agg(F.min("doc_id").alias("owner"))
-    settled = kinds.join(owners, ["anchor", "extent"]).select("doc_id", "mark", (F.col("doc_id") > F.col("owner")).alias("whole"))
+    settled = kinds.join(materialise(owners, "owners"), ["anchor", "extent"]).select("doc_id", "mark", (F.col("doc_id") > F.col("owner")).alias("whole"))
     return one_kind.unionAll(settled)
 
 
