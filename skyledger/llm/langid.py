@@ -23,8 +23,9 @@ ORDER = 3
 TRAIN_DOCS = 400
 #: A context of three bytes has a table row of its own if training saw it so often, in all languages.
 LEAST_SEEN = 3
-#: A text that costs more bits per byte than this in its best language is in none of them.
-MOST_BITS = 7.0
+#: A text that costs more bits per byte than this in its best language is in none of them: well above the 8 of raw bytes, since a
+#: short sentence around a random token comes near those.
+MOST_BITS = 10.0
 
 SLICE_BYTES = 4_000_000
 POSITIONS = 1 << 20
