@@ -1,11 +1,12 @@
-"""Text expressions.  All of them stay in the JVM except rare HTML entities."""
+"""Text expressions.  All of them stay in the JVM."""
 
 from __future__ import annotations
 
 import html
+import html.entities
+import json
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from skyledger import fixed_values as V
 
@@ -16,22 +17,50 @@ COMMON_ENTITIES = [
     ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
 ]
 _OTHER_ENTITY = "&(?!(?:" + "|".join(e.strip("&;") for e, _c in COMMON_ENTITIES) + ");)[#A-Za-z]"
+# What a reference may look like; the name is resolved afterwards.
+_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Names that count without a semicolon, and at the start of a longer word.
+_BARE = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=len, reverse=True)
+# Numbers below this one have meanings of their own (control characters, Windows-1252).
+_LOW_NUMBERS = 160
 
 
-def _unescape_rare():
-    """Defined inside a function so that workers need no package install."""
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    """The value of ``key`` in a table that is part of the plan as one folded literal."""
+    return F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string,string>"), key)
 
-    @F.pandas_udf(T.StringType())
-    def unescape(texts: pd.Series) -> pd.Series:
-        return texts.map(html.unescape, na_action="ignore")
 
-    return unescape
+def _character(number: Column) -> Column:
+    """The text that a numeric reference stands for; null (too large) is the replacement character."""
+    low = {str(n): html.unescape(f"&#{n};") for n in range(_LOW_NUMBERS)}
+    out_of_range = number.isNull() | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    nothing = number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return (
+        F.when(out_of_range, F.lit("\ufffd")).when(number < _LOW_NUMBERS, _lookup(low, number.cast("string")))
+        .when(nothing, F.lit("")).otherwise(char)
+    )
+
+
+def _resolved(entity: Column) -> Column:
+    """The text that one reference (with its ampersand) stands for; itself, if it names nothing."""
+    name = F.substr(entity, F.lit(2))
+    digits = F.regexp_extract(entity, "^&#0*([0-9]{1,9});?$", 1)
+    hexes = F.regexp_extract(entity, "^&#[xX]0*([0-9a-fA-F]{1,7});?$", 1)
+    zero = entity.rlike("^&#[xX]?0+;?$")
+    number = F.when(zero, F.lit(0)).when(digits != "", digits.try_cast("bigint")).when(hexes != "", F.conv(hexes, 16, 10).cast("bigint"))
+    start = F.regexp_extract(name, "^(?:" + "|".join(_BARE) + ")", 0)
+    by_start = F.when(start != "", F.concat(_lookup({n: html.entities.html5[n] for n in _BARE}, start), F.substr(name, F.length(start) + 1)))
+    return F.when(entity.startswith("&#"), _character(number)).otherwise(F.coalesce(_lookup(html.entities.html5, name), by_start, entity))
 
 
 def unescape_html(col: Column) -> Column:
-    """Decode entities; only rows holding an uncommon one are sent to Python."""
-    rare = col.rlike(_OTHER_ENTITY)
-    return F.when(rare, _unescape_rare()(F.when(rare, col))).otherwise(unescape_common(col))
+    """Decode entities.  Common ones are replaced; a text with any other one is cut at its references, each is looked
+    up in the standard table, and the pieces are joined again."""
+    between = F.split(col, _ENTITY, -1)
+    found = F.transform(F.regexp_extract_all(col, F.lit(_ENTITY), F.lit(0)), _resolved)
+    whole = F.array_join(F.zip_with(between, found, lambda t, e: F.concat(t, F.coalesce(e, F.lit("")))), "")
+    return F.when(col.rlike(_OTHER_ENTITY), whole).otherwise(unescape_common(col))
 
 
 def unescape_common(col: Column) -> Column:

@@ -1,6 +1,7 @@
 """Places, loaders, feeds and text cleaning."""
 
 import html
+import html.entities
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,13 @@ def test_clean_html(spark):
     assert got[2] == "plain \n\n text" and got[3] == "<b> &unknown; 1 < 2"
 
 
+def test_entities_as_the_standard_table_has_them(spark):
+    rows = ["&notit; &amp;lt; &", "&#0;&#128;&#x80;&#xD800;&#x110000;&#99999999999999;&#x1F600;", "&#1;&#11;&#xfdd0;&#x1ffff;&#x00041;&#0065 ", "&;&#;&#x;&&eacute", "&lt&gt;&ampx", ""]
+    rows += [f"&{name} z &{name}" for name in html.entities.html5] + [f"&#{n};" for n in [*range(300), 0xFFFE, 0x10FFFE]]
+    df = spark.createDataFrame([(r,) for r in rows], "t string").select("t", X.unescape_html(F.col("t")).alias("c"))
+    assert [(r.t, r.c) for r in df.collect() if r.c != html.unescape(r.t)] == []
+
+
 def test_loaders(spark, tmp_path):
     (tmp_path / "lex.txt").write_text("# c\n+0.3\tHuge Claim\nbad line\nx\ty\n-0.2\tmeasured\n", encoding="utf-8")
     (tmp_path / "tags.txt").write_text("# note\n#Rain\n\n##rain\n#बाढ़\n", encoding="utf-8")
