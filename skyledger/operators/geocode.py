@@ -14,16 +14,16 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyledger import fixed_values as V
 from skyledger.functions.geo import flat_metric
 from skyledger.functions.plan import once
 from skyledger.functions.text import norm_place
+from skyledger.session import materialise
 from skyledger.sources import dims
 
 INLINE_MAX = 2_000
-FUZZY_KEYS_MAX = 50_000
 GRAM = 4
 
 PLACE = ["city", "state", "district", "lat", "lon"]
@@ -31,17 +31,12 @@ _PLACE_TYPE = "struct<city:string,state:string,district:string,lat:double,lon:do
 _NAMES_TYPE = "array<struct<name:string,place:" + _PLACE_TYPE + ">>"
 
 
-LOCAL_ROWS_MAX = 20_000
-
 _seeds: dict[str, Gazetteer] = {}
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """A small lookup table as plain local rows, computed once; Spark then knows
-    its size and need not build it again in every query.  A larger table stays
-    the query it is."""
-    rows = df.limit(LOCAL_ROWS_MAX + 1).collect()
-    return df if len(rows) > LOCAL_ROWS_MAX else df.sparkSession.createDataFrame(rows, df.schema)
+    """A lookup table written once, so that no query builds it again and Spark knows its size."""
+    return materialise(df, "gazetteer")
 
 
 @dataclass(frozen=True, eq=False)
@@ -147,13 +142,6 @@ class Gazetteer:
             out.append((squeezed, None if len(rows) > INLINE_MAX else [r.asDict(recursive=True) for r in rows]))
         return out
 
-    @cached_property
-    def fuzzy_keys(self) -> list[str]:
-        keys = [r.key for r in self.lookup.orderBy("pos").select("key").limit(FUZZY_KEYS_MAX + 1).collect()]
-        if len(keys) > FUZZY_KEYS_MAX:
-            raise ValueError(f"fuzzy place names need a gazetteer of at most {FUZZY_KEYS_MAX} keys")
-        return keys
-
     @cached_property
     def cells(self) -> DataFrame:
         """1-degree cell -> cities of it and its eight neighbours, in file order.
@@ -223,8 +211,9 @@ def resolve_names(names: DataFrame, gaz: Gazetteer, fuzzy: bool = True) -> DataF
     tried = tried.select("name", "key", first["place"].alias("place"))
     parts = [exact.filter("exact IS NOT NULL").select("name", F.col("exact").alias("place"))]
     if fuzzy:
-        near = closest_key(gaz.fuzzy_keys)
-        spelled = tried.filter("place IS NULL").select("name", near(F.col("key")).alias("key")).filter("key IS NOT NULL")
+        unknown = tried.filter("place IS NULL").select("name", "key")
+        near = closest_keys(unknown.select("key").distinct(), gaz.lookup.select("key"))
+        spelled = unknown.join(near, "key").select("name", F.col("near").alias("key"))
         parts.append(spelled.join(gaz.lookup, "key").select("name", "place"))
     parts.append(tried.filter("place IS NOT NULL").select("name", "place"))
     out = parts[0]
@@ -233,26 +222,40 @@ def resolve_names(names: DataFrame, gaz: Gazetteer, fuzzy: bool = True) -> DataF
     return out
 
 
-def closest_key(keys: list[str]):
-    """Closest spelling by the standard library's string ratio, in Arrow batches."""
-    cutoff = V.FUZZY_PLACE_RATIO
+def closest_keys(unknown: DataFrame, keys: DataFrame, cutoff: float = V.FUZZY_PLACE_RATIO) -> DataFrame:
+    """key, near: for each ``key`` of ``unknown`` the most similar one of ``keys`` (equal ratios: the last by code point),
+    if the standard library's string ratio reaches ``cutoff``.
+
+    With a ratio of 2 M / T above 0.8 fewer than T / 5 characters are unmatched, and so few gaps leave a block of two
+    characters or more: similar keys share a bigram, have lengths in a band, and are within T - 2 M edits.  An equi-join on
+    bigram and length brings all of them, the edit distance thins them out, and only those pairs get the exact ratio.
+    """
+    if not 0.8 < cutoff <= 1:
+        raise ValueError("a ratio above 0.8, at most 1 expected")
+
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        found = F.array_distinct(F.regexp_extract_all(name, F.lit("(?s)(?=(.{2}))"), F.lit(1)))
+        return once(df.select(F.col("key").alias(name)), _g=found).select(name, F.explode("_g").alias("gram"))
 
-    @F.pandas_udf(T.StringType())
-    def near(names: pd.Series) -> pd.Series:
-        found = {
-            n: next(iter(difflib.get_close_matches(n, keys, n=1, cutoff=cutoff)), None)
-            for n in names.dropna().unique()
-        }
-        return names.map(found)
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b)], dtype="float64")
 
-    return near
+    size = F.length("key")
+    ends = F.ceil(size * cutoff / (2 - cutoff) - 1e-9), F.floor(size * (2 - cutoff) / cutoff + 1e-9)
+    asked = grams(unknown, "key").withColumn("size", F.explode(F.sequence(*[e.cast("int") for e in ends])))
+    pairs = asked.join(grams(keys, "near").withColumn("size", F.length("near")), ["gram", "size"])
+    most = (F.length("key") + F.length("near")) * (1 - cutoff) + 1e-9
+    close = pairs.filter(F.levenshtein("key", "near") <= most).select("key", "near").distinct()
+    scored = close.withColumn("r", ratio("key", "near")).filter(F.col("r") >= cutoff)
+    return scored.groupBy("key").agg(F.max_by("near", F.struct("r", "near")).alias("near"))
 
 
 def find_city(df: DataFrame, gaz: Gazetteer, column: str, name: str = "by_name", fuzzy: bool = True) -> DataFrame:
-    """Add the city a free-text name means.  Distinct names are resolved once."""
-    names = df.select(F.col(column).alias("name")).filter(F.coalesce("name", F.lit("")) != "").distinct()
-    known = resolve_names(names, gaz, fuzzy).select(F.col("name").alias(column), F.col("place").alias(name))
-    return df.join(known, column, "left")
+    """Add the city a free-text name means.  Distinct names are written and resolved once, whatever ``df`` is computed from."""
+    names = materialise(df.select(F.col(column).alias("name")).filter(F.coalesce("name", F.lit("")) != "").distinct(), "names")
+    known = materialise(resolve_names(names, gaz, fuzzy), "known-names")
+    return df.join(known.select(F.col("name").alias(column), F.col("place").alias(name)), column, "left")
 
 
 def find_state(df: DataFrame, gaz: Gazetteer, column: str, name: str = "state_found") -> DataFrame:

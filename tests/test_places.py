@@ -1,11 +1,13 @@
 """Places, loaders, feeds and text cleaning."""
 
+import difflib
 import html
 import html.entities
 
 import pytest
 from pyspark.sql import functions as F
 
+from skyledger import fixed_values as V
 from skyledger.functions import text as X
 from skyledger.operators import geocode as G
 from skyledger.operators.geocode import Gazetteer
@@ -30,6 +32,14 @@ def test_names(spark, gaz):
     }
 
 
+def test_closest_keys_as_one_by_one(spark):
+    keys = ["mumbai", "hyderabad", "hyderabat", "bengaluru", "pune", "puna", "thiruvananthapuram", "ab", "abc", "दरभंगा", "aaaaaaaaaa", "newdelhi"]
+    unknown = ["mumbay", "mumbbai", "hyderabaad", "hyderaba", "bangaluru", "pun", "punee", "thiruvanantapuram", "thiruvanthapurm", "xyz", "a", "दरभगा", "aaaaaaaaa", "newdehli", "wendelhi"]
+    got = G.closest_keys(*[spark.createDataFrame([(k,) for k in ks], "key string") for ks in (unknown, keys)])
+    want = {u: m[0] for u in unknown if (m := difflib.get_close_matches(u, keys, n=1, cutoff=V.FUZZY_PLACE_RATIO))}
+    assert {r.key: r.near for r in got.collect()} == want and len(want) >= 6
+
+
 def test_states(spark, gaz):
     df = spark.createDataFrame([("बिहार",), ("Tamil Nadu",), ("Orissa",), ("x",)], "s string")
     got = {r.s: r.state_found for r in G.find_state(df, gaz, "s").collect()}
