@@ -10,13 +10,18 @@ import numpy as np
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffixes in order; the last symbol must be 0 and occur nowhere else, and symbols stay below 2 ** 21.
+    """Suffixes in order; the last symbol must be 0 and occur nowhere else, and symbols stay below 2 ** 31.
 
-    Starts from the first three symbols and doubles the compared length, for suffixes that still share a rank only.
+    Starts from the first three symbols (two, if a symbol needs more than 21 bits) and doubles the compared length, for
+    suffixes that still share a rank only.
     """
     n = len(symbols)
+    most = int(symbols.max())
+    if most >= 1 << 31:
+        raise ValueError("symbols below 2 ** 31 expected")
     s = np.concatenate([symbols, np.zeros(2, symbols.dtype)]).astype(np.int64)
-    key = (s[:-2] << 42) | (s[1:-1] << 21) | s[2:]
+    wide = most >= 1 << 21
+    key = (s[:-2] << 31) | s[1:-1] if wide else (s[:-2] << 42) | (s[1:-1] << 21) | s[2:]
     order = np.argsort(key)
     sorted_key = key[order]
     first = np.flatnonzero(np.diff(sorted_key, prepend=-1))
@@ -24,7 +29,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(first, size)
     tied = np.flatnonzero(np.repeat(size > 1, size))  # places in the order
-    length = 3
+    length = 2 if wide else 3
     while len(tied):
         at = order[tied]
         key = rank[at] * n + rank[at + length]  # a tie ends before the end of the text, where 0 stands once

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import types
 import zlib
 from collections import Counter, defaultdict
 
@@ -67,6 +68,24 @@ def test_index_finds_all_places(text, pattern):
         assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == want
 
 
+@given(st.lists(st.integers(1, 3), max_size=60))
+@settings(max_examples=60, deadline=None)
+def test_suffixes_of_large_symbols(text):
+    symbols = np.array([*((x * 7) << 21 | x for x in text), 0], np.int64)
+    assert fmindex.suffix_array(symbols).tolist() == sorted(range(len(symbols)), key=lambda i: symbols[i:].tolist())
+
+
+def test_a_document_of_very_many_distinct_words():
+    """More than 2 ** 21 distinct words: every window is found where it stands."""
+    count = (1 << 21) + 200_000
+    text = b" ".join(b"%x" % i for i in range(count))
+    item = b" ".join(b"%x" % i for i in range(count - 60, count - 40))
+    windows = decontam.Windows([("1", item)], decontam.WINDOW)
+    n_words, n_hit, items, spans, _ = decontam._scan([b"a b c", text], [types.SimpleNamespace(value=windows)])
+    assert n_words.tolist() == [3, count] and n_hit.tolist() == [0, 20] and items == [[], ["1"]]
+    assert spans == [[], [{"start": count - 60, "past": count - 40}]]
+
+
 @given(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 70_000) | st.integers(0, 1), max_size=200))
 @settings(max_examples=60, deadline=None)
 def test_simple8b_round_trip(ids):
