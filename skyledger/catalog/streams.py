@@ -116,5 +116,5 @@ def _(x: Inputs):
 @query("d3_lang")
 def _(x: Inputs):
     docs = x.spread(x.table("documents"))
-    profiles = LG.train_profiles(docs.filter("doc_id % 2 = 0"))
+    profiles = LG.train_profiles(docs)
     return LG.detect_lang(docs, profiles, "doc_id", given=None).select("doc_id", "lang", "detected")
