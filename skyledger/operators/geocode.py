@@ -3,7 +3,8 @@
 No step broadcasts by hand.  Each lookup is an equi-join against a table unique
 on its key, so Spark broadcasts it while it is small (by its measured size) and
 shuffles it, splitting skewed keys, when it is not.  Substring search uses an
-inlined name list up to ``INLINE_MAX`` names and a 4-gram equi-join beyond.
+inlined name list up to ``INLINE_MAX`` names and a 4-gram equi-join beyond;
+both find the same.
 """
 
 from __future__ import annotations
@@ -108,7 +109,11 @@ class Gazetteer:
 
     @cached_property
     def text_names(self) -> list[tuple[bool, DataFrame]]:
-        """Ordered name lists for the search in text: (on squeezed text, names)."""
+        """Ordered name lists for the search in text: (on squeezed text, names).
+
+        A state name may be short once it is squeezed ('N.S.W.' -> 'nsw') and is
+        found as it is; one of which nothing is left is no name.
+        """
         whole = self.cities.filter(F.length("city") >= 4).select(
             F.struct((-F.length("city")).alias("a"), F.col("ord").alias("b")).alias("rank"),
             F.lower("city").alias("name"), F.struct(*PLACE).alias("place"),
@@ -130,7 +135,7 @@ class Gazetteer:
                 F.regexp_replace("low", "[^a-z0-9]+", "").alias("name"), _state_place(F.col("state")).alias("place"),
             )
         )
-        squeezed = city_alias.unionByName(state_alias).unionByName(state_name)
+        squeezed = city_alias.unionByName(state_alias).unionByName(state_name).filter("name <> ''")
         return [(False, whole), (True, squeezed)]
 
     @cached_property
@@ -142,6 +147,12 @@ class Gazetteer:
             out.append((squeezed, None if len(rows) > INLINE_MAX else [r.asDict(recursive=True) for r in rows]))
         return out
 
+    @cached_property
+    def gram_sizes(self) -> list[list[int]]:
+        """Per name list the lengths of the names' first grams: ``GRAM``, or less for a shorter name."""
+        size = F.least(F.length("name"), F.lit(GRAM)).alias("size")
+        return [sorted(r.size for r in names.select(size).distinct().collect()) for _, names in self.text_names]  # at most GRAM rows
+
     @cached_property
     def cells(self) -> DataFrame:
         """1-degree cell -> cities of it and its eight neighbours, in file order.
@@ -274,13 +285,12 @@ def _contained(text: Column, rows: list) -> Column:
     return F.get(F.filter(names, lambda n: F.contains(text, n["name"])), 0)["place"]
 
 
-def _contained_by_gram(df: DataFrame, text: Column, names: DataFrame, out: str) -> DataFrame:
-    """The same for long lists: distinct texts meet names on a 4-gram.
-
-    Names shorter than a gram cannot occur (the lists start at four characters).
-    """
+def _contained_by_gram(df: DataFrame, text: Column, names: DataFrame, sizes: list[int], out: str) -> DataFrame:
+    """The same for long lists: distinct texts meet names on a 4-gram, those
+    shorter than that on the whole name (``sizes``: the lengths there are)."""
     texts = df.select(text.alias("_t")).filter("_t IS NOT NULL").distinct()
-    grams = F.array_distinct(F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    each = [F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes or [GRAM]]
+    grams = F.array_distinct(F.concat(*each))
     probe = once(texts, _g=grams).select("_t", F.explode("_g").alias("gram"))
     keyed = names.withColumn("gram", F.substring("name", 1, GRAM))
     hits = probe.join(keyed, "gram").filter(F.contains("_t", F.col("name")))
@@ -298,7 +308,7 @@ def place_in_text(df: DataFrame, gaz: Gazetteer, text: Column, name: str = "in_t
         if rows is not None:
             found.append(_contained(target, rows))
         else:
-            df = _contained_by_gram(df, target, names, f"_list{i}")
+            df = _contained_by_gram(df, target, names, gaz.gram_sizes[i], f"_list{i}")
             found.append(F.col(f"_list{i}"))
     return df.withColumn(name, F.coalesce(*found)).drop("_list0", "_list1")
 
@@ -306,7 +316,7 @@ def place_in_text(df: DataFrame, gaz: Gazetteer, text: Column, name: str = "in_t
 def city_in_text(df: DataFrame, gaz: Gazetteer, text: Column, name: str = "named") -> DataFrame:
     (squeezed, rows), (_s, names) = gaz.inlined[0], gaz.text_names[0]
     if rows is None:
-        return _contained_by_gram(df, F.lower(text), names, name)
+        return _contained_by_gram(df, F.lower(text), names, gaz.gram_sizes[0], name)
     return df.withColumn(name, _contained(F.lower(text), rows))
 
 
@@ -314,7 +324,7 @@ def alias_in_text(df: DataFrame, gaz: Gazetteer, text: Column, name: str = "alia
     (squeezed, rows), (_s, names) = gaz.inlined[1], gaz.text_names[1]
     target = squeeze(F.lower(text))
     if rows is None:
-        return _contained_by_gram(df, target, names, name)
+        return _contained_by_gram(df, target, names, gaz.gram_sizes[1], name)
     return df.withColumn(name, _contained(target, rows))
 
 

@@ -62,6 +62,23 @@ def test_long_name_lists_give_the_same(spark, gaz, monkeypatch):
     assert got == want and want["nothing"] is None and want["storm in Banga-lore"].city == "Bengaluru"
 
 
+def test_short_and_empty_squeezed_names_in_lists_of_any_size(spark, gaz, monkeypatch):
+    places = [(0, "Sydney", "N.S.W.", "", -33.9, 151.2), (1, "Patna", "बिहार राज्य", "", 25.6, 85.1), (2, "Perth", "W. A. !", "", -31.9, 115.9)]
+    cities = spark.createDataFrame(places, "ord int, city string, state string, district string, lat double, lon double")
+    texts = ["floods in N.S.W. today", "nsw", "dry in w.a.", "Sydney", "nothing", "", "ns", "over Tamil Nadu"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for most in (G.INLINE_MAX, 0):
+        monkeypatch.setattr(G, "INLINE_MAX", most)
+        small = Gazetteer(cities, gaz.aliases)
+        got = {r.t: r.p.city if r.p else None for r in G.place_in_text(df, small, F.col("t"), "p").collect()}
+        assert got == {
+            "floods in N.S.W. today": "N.S.W.", "nsw": "N.S.W.", "dry in w.a.": "W. A. !", "Sydney": "Sydney", "nothing": None, "": None, "ns": None,
+            "over Tamil Nadu": None,
+        }
+        named = {r.t: r.p.city if r.p else None for r in G.alias_in_text(df, small, F.col("t"), "p").collect()}
+        assert named == got | {"Sydney": None}
+
+
 def test_clean_html(spark):
     rows = ["<p>a &amp;lt; b</p><br/>c&nbsp;d", "x&eacute;&#8217;y &copy z", " \t plain \n\n\n\n text  ", "&lt;b&gt; &unknown; 1 < 2"]
     got = [r.c for r in spark.createDataFrame([(r,) for r in rows], "t string").select(X.clean_html(F.col("t")).alias("c")).collect()]
