@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.llm import ann, decontam, langid, linededup, mixing, sharding, simhash, substring, tokencount, tokenpack
+from skyledger.llm import ann, decontam, hardneg, langid, linededup, mixing, sharding, simhash, substring, tokencount, tokenpack, turntrie, urlfilter
 from skyledger.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_nearest": lambda spark, sf_dir: ann.nearest(table(spark, sf_dir, "embeddings")),
     "op9_mixing": lambda spark, sf_dir: mixing.mix(table(spark, sf_dir, "documents")),
     "op10_simhash": lambda spark, sf_dir: simhash.near_duplicates(table(spark, sf_dir, "documents")),
+    "op11_prefix_trie": lambda spark, sf_dir: turntrie.digest(table(spark, sf_dir, "conversations")),
+    "op12_hard_negatives": lambda spark, sf_dir: hardneg.mine(table(spark, sf_dir, "embeddings"), hardneg.shifted_label()),
+    "op13_url_filter": lambda spark, sf_dir: urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.label_outcomes(table(spark, sf_dir, "labels")), urlfilter.rule_table(spark)),
 }
 
 ORACLES = {
@@ -23,4 +26,7 @@ ORACLES = {
     "op3_line_dedup": linededup.SQL,
     "op6_decontamination": decontam.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_prefix_trie": turntrie.SQL,
+    "op12_hard_negatives": hardneg.SQL,
+    "op13_url_filter": urlfilter.SQL,
 }
