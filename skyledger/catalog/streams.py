@@ -14,6 +14,7 @@ from skyledger.operators.geocode import Gazetteer
 from skyledger.session import scratch_path
 from skyledger.sources import dims, media
 from skyledger.streaming import stream as ST
+from skyledger.streaming.reportlog import reports
 
 _NOW = dt.datetime(2024, 2, 1)
 
@@ -73,8 +74,7 @@ def _(x: Inputs):
     observations = x.observations.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
     values = _stream(x, "messages").select("value")
     ST.build_stream(values, root, Gazetteer.seed(x.spark), observations, _NOW, None).awaitTermination()
-    table = x.spark.read.parquet(f"{root}/reports")
-    return table.select(
+    return reports(ST.Sinks(x.spark, root).reports).select(
         "source", "external_id", "city", "state", "event_category", "severity", "credibility_score", "is_duplicate", "verification_status"
     )
 
