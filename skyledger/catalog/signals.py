@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyledger import fixed_values as V
 from skyledger.catalog.core import Inputs, iso_sql, query
 from skyledger.functions import geo, text as X
-from skyledger.operators import classify as C, credibility as R, dedup as D, ops as O, plausibility as P
+from skyledger.operators import classify as C, credibility as R, dedup as D, plausibility as P
 from skyledger.plans import enrich as E
 
 
@@ -65,12 +65,14 @@ def _(x: Inputs):
 
 
 _ARRIVED = """SELECT concat('doc:', CAST(doc_id AS VARCHAR(20))) AS key, text, TIMESTAMP '2024-01-01 00:00:00' + (doc_id % 720) * INTERVAL '1' HOUR AS seen_at FROM documents
-  UNION ALL SELECT concat(source, ':', external_id), text, observed_at FROM reports"""
-_OWNERS = f"""WITH RECURSIVE posts AS (SELECT key, sha256({_NORM}) AS digest, seen_at FROM arrived),
+  UNION ALL SELECT concat(source, ':', external_id), text, observed_at FROM reports
+  UNION ALL SELECT concat('lost:', CAST(doc_id AS VARCHAR(20))), text, CAST(NULL AS TIMESTAMP) FROM documents WHERE doc_id % 40 = 0"""
+_OWNERS = f"""WITH RECURSIVE posts AS (SELECT key, sha256({_NORM}) AS digest, seen_at FROM arrived WHERE seen_at IS NOT NULL),
   own AS (SELECT digest, min(struct_pack(t := seen_at, k := key)) AS o FROM posts GROUP BY digest
    UNION ALL SELECT p.digest, min(struct_pack(t := p.seen_at, k := p.key)) FROM own w JOIN posts p ON p.digest = w.digest AND p.seen_at >= w.o.t + INTERVAL 7 DAY GROUP BY p.digest)
   SELECT p.key, p.seen_at, CASE WHEN w.o.k <> p.key THEN w.o.k END AS duplicate_of FROM posts p JOIN own w ON p.digest = w.digest
-   AND p.seen_at >= w.o.t AND p.seen_at < w.o.t + INTERVAL 7 DAY"""
+   AND p.seen_at >= w.o.t AND p.seen_at < w.o.t + INTERVAL 7 DAY
+  UNION ALL SELECT key, seen_at, NULL FROM arrived WHERE seen_at IS NULL"""
 
 
 def _exact(x: Inputs):
@@ -90,6 +92,34 @@ def _(x: Inputs):
     return D.dedup_stats(_exact(x).withColumn("dedup_kind", kind))
 
 
+_KIND = "CASE WHEN event_id % 10 = 6 THEN 'exact' WHEN event_id % 10 = 8 THEN 'near' ELSE 'unique' END"
+
+
+def _planted(x: Inputs):
+    """Posts of which some are planted copies, by minute."""
+    posts = x.derived("planted").filter("event_id % 100 NOT IN (19, 39)").select("event_id", F.get_json_object("value", "$.text").alias("text"))
+    return posts.select(
+        F.lit("rss").alias("source"), F.col("event_id").cast("string").alias("external_id"), "text",
+        F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + event_id * INTERVAL '1' MINUTE").alias("observed_at"),
+    )
+
+
+@query("e11_kinds", ["planted"], f"SELECT {_KIND} AS dedup_kind, count(*) AS n FROM planted WHERE event_id % 100 NOT IN (19, 39) GROUP BY 1")
+def _(x: Inputs):
+    return D.dedup_stats(D.dedup_assign(_planted(x)))
+
+
+@query("e9_assign_planted", ["planted"], f"""SELECT CAST(event_id AS VARCHAR) AS external_id, kind <> 'unique' AS is_duplicate, CASE WHEN kind <> 'unique' THEN concat('rss:', event_id - 1) END AS duplicate_of,
+   CASE WHEN kind <> 'unique' THEN 1e0 END AS dedup_score, kind AS dedup_kind FROM (SELECT *, {_KIND} AS kind FROM planted WHERE event_id % 100 NOT IN (19, 39)) p""")
+def _(x: Inputs):
+    return D.dedup_assign(_planted(x)).select("external_id", "is_duplicate", "duplicate_of", "dedup_score", "dedup_kind")
+
+
+@query("e8_near_planted", ["planted"], "SELECT concat('rss:', event_id) AS key, concat('rss:', event_id - 1) AS near_of, 1e0 AS score FROM planted WHERE event_id % 10 = 8")
+def _(x: Inputs):
+    return D.near_matches(_planted(x))
+
+
 def _document_posts(x: Inputs):
     docs = x.spread(x.table("documents"))
     return docs.select(
@@ -115,12 +145,6 @@ def _(x: Inputs):
     return out.select("report_id", "is_duplicate", "duplicate_of", "dedup_score", "dedup_kind")
 
 
-@query("l6_counters")
-def _(x: Inputs):
-    out = D.dedup_assign(x.spread(x.reports).select("source", "external_id", "text", "observed_at"))
-    return O.pipeline_counters(O.stage_metrics(out))
-
-
 # -- classification ---------------------------------------------------------
 _SUFFIXES = [
     "", " river embankment has breached", " 43.5 °C and scorching", " घना कोहरा और लू", " waterlogged lanes, relief camps open", " winds of 75 km/h in a squall",
@@ -282,7 +306,15 @@ def _(x: Inputs):
     return out.select("report_id", "checked", "reason", "metric", "observed", "threshold", "agrees", "station", "reference_at", "distance_km")
 
 
-@query("h6_reuse")
+# rows of a category, hundredth of a degree and half hour take the place and time of the earliest of them
+_SHARED = """SELECT r.report_id, r.event_category, coalesce(g.o.t, r.observed_at) AS observed_at, coalesce(g.o.lat, r.lat) AS lat, coalesce(g.o.lon, r.lon) AS lon
+  FROM reports r LEFT JOIN (SELECT event_category, round(lat, 2) AS a, round(lon, 2) AS b, epoch(observed_at) // 1800 AS h,
+    min(struct_pack(t := observed_at, lat := lat, lon := lon)) AS o FROM reports WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1, 2, 3, 4) g
+  ON g.event_category = r.event_category AND g.a = round(r.lat, 2) AND g.b = round(r.lon, 2) AND g.h = epoch(r.observed_at) // 1800"""
+
+
+@query("h6_reuse", ["reports", "observations"], f"""SELECT report_id, checked, reason, station, distance_km FROM ({_VERDICT.replace("FROM reports r", "FROM shared r").replace("JOIN reports r2", "JOIN shared r2")}) v""",
+       extra={"shared": _SHARED, "pairs": _PAIRS.replace("FROM reports r", "FROM shared r"), "best": _NEAREST})
 def _(x: Inputs):
     out = P.plausibility(x.reports, x.observations, reuse=True).select("report_id", "plausibility.*")
     return out.select("report_id", "checked", "reason", "station", "distance_km")

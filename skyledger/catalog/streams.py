@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 from skyledger import fixtures
 from skyledger.catalog.core import Inputs, query
 from skyledger.catalog.reporting import rollup_sql
-from skyledger.operators import language as LG, search as S
+from skyledger.operators import language as LG, ops as O, search as S
 from skyledger.operators.geocode import Gazetteer
 from skyledger.session import scratch_path
 from skyledger.sources import dims, media
 from skyledger.streaming import stream as ST
-from skyledger.streaming.reportlog import reports
+from skyledger.streaming.reportlog import report_log, reports, versions
 
 _NOW = dt.datetime(2024, 2, 1)
 
@@ -79,6 +79,52 @@ def _(x: Inputs):
     )
 
 
+def _planted(x: Inputs) -> str:
+    """Root of a stream over the planted posts."""
+    root = scratch_path(x.spark, "planted")
+    observations = x.observations.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    values = _stream(x, "planted").select("value")
+    ST.build_stream(values, root, Gazetteer.seed(x.spark), observations, _NOW, None).awaitTermination()
+    return root
+
+
+@query("n2_dead_letters", ["planted"], """SELECT 'weather.raw.posts' AS topic, CASE WHEN event_id % 100 IN (19, 39) THEN 'raw' ELSE 'enrich' END AS stage,
+   concat('ValidationError: ', CASE event_id % 100 WHEN 19 THEN 'payload: not a JSON object' WHEN 39 THEN 'text: must not be empty'
+    WHEN 9 THEN 'lat: outside -90 to 90' ELSE 'lon: outside -180 to 180' END) AS error,
+   CASE WHEN event_id % 100 = 19 THEN value ELSE CAST(event_id AS VARCHAR) END AS post, TIMESTAMP '2024-02-01 00:00:00' AS failed_at
+  FROM planted WHERE event_id % 100 IN (9, 19, 29, 39)""")
+def _(x: Inputs):
+    dead = x.spark.read.parquet(f"{_planted(x)}/dlq")
+    named = F.coalesce(F.get_json_object("payload", "$.external_id"), F.col("payload"))
+    return dead.select("topic", "stage", "error", named.alias("post"), F.col("failed_at").cast("timestamp_ntz").alias("failed_at"))
+
+
+@query("l6_counters", ["planted"], """SELECT name, CAST(sum(n) AS BIGINT) AS total FROM (
+   SELECT unnest(['raw_in', 'raw_failed', 'enrich_failed', 'dedup_failed', 'dedup_exact', 'dedup_near', 'dedup_unique', 'classify_failed', 'classify_done', 'sink_saved', 'sink_duplicate', 'late']) AS name,
+    unnest([1, raw, place, 0, copy, near, good - copy - near, 0, good, good - copy - near, copy + near, 0]) AS n
+   FROM (SELECT CAST(event_id % 100 IN (19, 39) AS INT) AS raw, CAST(event_id % 100 IN (9, 29) AS INT) AS place, CAST(event_id % 100 NOT IN (9, 19, 29, 39) AS INT) AS good,
+     CAST(event_id % 10 = 6 AND event_id > 0 AS INT) AS copy, CAST(event_id % 10 = 8 AS INT) AS near FROM planted) p) c GROUP BY name""")
+def _(x: Inputs):
+    return O.pipeline_counters(ST.Sinks(x.spark, _planted(x)).counters.read())
+
+
+@query("n5_report_log", ["full_reports"], """SELECT source, external_id, arg_max(struct_pack(c := text), k).c AS text, arg_max(struct_pack(c := city), k).c AS city, arg_max(source_url, k) FILTER (coalesce(source_url, '') <> '') AS source_url,
+   arg_max(author, k) FILTER (coalesce(author, '') <> '') AS author, coalesce(arg_min(media_n, k) FILTER (media_n > 0), 0) AS media_n,
+   CAST(min(k) AS BIGINT) AS inserted_by FROM (SELECT *, report_id // 5 % 4 AS k FROM full_reports) r GROUP BY source, external_id""")
+def _(x: Inputs):
+    """Four batches, a compaction after the third, a replay of the last."""
+    log = report_log(x.spark, scratch_path(x.spark, "n5"))
+    none = {"geocode_method": "string", "duplicate_of": "string", "dedup_score": "double", "credibility_features": "string", "plausibility": "string"}
+    rows = x.full_reports.withColumns({c: F.lit(None).cast(t) for c, t in none.items()}).withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    for batch in (0, 1, 2, 3, 3):
+        part = versions(rows.filter(F.expr("report_id div 5 % 4") == batch), batch, _NOW + dt.timedelta(days=batch))
+        log.append(part, batch, F.col("last.observed_at"))
+        if batch == 2:
+            log.compact(2)
+    inserted = F.datediff("ingested_at", F.lit(_NOW)).cast("bigint").alias("inserted_by")
+    return reports(log).select("source", "external_id", "text", "city", "source_url", "author", F.size("media").alias("media_n"), inserted)
+
+
 # -- loaders ----------------------------------------------------------------
 _PLACES = """SELECT c_custkey, concat(c_name, ',', c_mktsegment, ',', CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat('D', CAST(c_nationkey AS VARCHAR(9))) END, ',',
   CASE WHEN c_custkey % 10 = 0 THEN 'bad' ELSE CAST(c_custkey % 60 AS VARCHAR(9)) END, ',', CAST(c_custkey % 90 AS VARCHAR(9))) AS line FROM customer"""

@@ -105,6 +105,17 @@ SELECT report_id, CASE WHEN report_id % 41 = 0 THEN concat('{"source": oops ', C
   CASE WHEN report_id % 7 = 0 THEN ',"city_hint":"Mumbai","raw":{"n":1}' WHEN report_id % 7 = 1 THEN ',"raw":"not json"' ELSE '' END,
   CASE WHEN report_id % 5 = 0 THEN ',"channel":"sms"' ELSE '' END, '}') END AS value FROM reports""")
 
+# landed posts with planted copies (6 repeats 5, 8 has the shingles of 7) and rows that fail the contract (19, 39) or have no place on the globe (9, 29)
+DERIVED["planted"] = ([], """
+SELECT event_id, CASE WHEN event_id % 100 = 19 THEN concat('{"oops ', CAST(event_id AS VARCHAR(20))) ELSE concat(
+  '{"source":"rss","external_id":"', CAST(event_id AS VARCHAR(20)), '","text":"', CASE WHEN event_id % 100 = 39 THEN ' '
+    WHEN event_id % 10 = 6 THEN concat('report ', md5(CAST(event_id - 1 AS VARCHAR(20))))
+    WHEN event_id % 10 = 7 THEN repeat(substring(md5(CAST(event_id AS VARCHAR(20))), 1, 12), 6)
+    WHEN event_id % 10 = 8 THEN repeat(substring(md5(CAST(event_id - 1 AS VARCHAR(20))), 1, 12), 7)
+    ELSE concat('report ', md5(CAST(event_id AS VARCHAR(20)))) END,
+  '","observed_at":"', CAST(TIMESTAMP '2024-01-01 00:00:00' + event_id * INTERVAL '1' SECOND AS VARCHAR(30)), 'Z"',
+  CASE event_id % 100 WHEN 9 THEN ',"lat":1e12,"lon":7' WHEN 29 THEN ',"lat":20,"lon":-180.5' ELSE '' END, '}') END AS value FROM events""")
+
 DERIVED["tokens"] = (["reports"], """
 SELECT concat('t', CAST(report_id AS VARCHAR(20))) AS token, report_id FROM reports WHERE source = 'citizen'""")
 
