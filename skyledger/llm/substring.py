@@ -31,6 +31,7 @@ SLICE_BYTES = 4_000_000
 
 # A mark is one long: 23 bits of the text's hash, 34 bits of the first window's place, 6 bits for the number of windows less 1.
 _VERSION_SHIFT, _COUNT_BITS = 40, 6
+_MOST_WINDOWS = 1 << _COUNT_BITS
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so they have inverses modulo 2 ** 64
 
@@ -86,6 +87,9 @@ class Words:
         window = at[at + length <= self.ends[doc[at]]]
         choice = np.lib.stride_tricks.sliding_window_view(grams, length - gram + 1).argmin(1)[window] + window
         runs = np.flatnonzero(np.diff(choice, prepend=-1))
+        # a long run is several occurrences of its anchor, so that each one's number of windows fits its mark
+        pieces = -(-np.diff(runs, append=len(window)) // _MOST_WINDOWS)
+        runs = np.repeat(runs, pieces) + _MOST_WINDOWS * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         size = np.diff(runs, append=len(window))
         start, anchor = window[runs], choice[runs]
         extent = self.ranges(start, start + size - 1 + length, 1) ^ _mixed((anchor - start).astype(np.uint64) + np.uint64(1))
@@ -120,14 +124,13 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 def marks(seeds: DataFrame) -> DataFrame:
     """doc_id, mark, whole: occurrences that repeat a smaller doc_id's as a whole, and owners whose windows are to be compared."""
-    met = seeds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("extent").alias("low"), F.max("extent").alias("high"), F.min("doc_id").alias("least"))
-    # the sums are written, so that the joins shuffle both sides themselves and Spark can split a very common anchor
-    met = seeds.join(materialise(met.filter("n > 1"), "met"), "anchor")
-    one_kind = met.filter("low = high AND doc_id > least").select("doc_id", "mark", F.lit(True).alias("whole"))
-    kinds = met.filter("low != high").select("anchor", "extent", "doc_id", "mark")
-    owners = kinds.groupBy("anchor", "extent").agg(F.min("doc_id").alias("owner"))
-    settled = kinds.join(materialise(owners, "owners"), ["anchor", "extent"]).select("doc_id", "mark", (F.col("doc_id") > F.col("owner")).alias("whole"))
-    return one_kind.unionAll(settled)
+    kinds = seeds.groupBy("anchor", "extent").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
+    kinds = materialise(kinds, "kinds")
+    met = kinds.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("extents")).filter("n > 1")
+    # what is known of an anchor and extent is settled in tables of one row each, so seeds meet it once and a very common one can be split
+    known = kinds.drop("n").join(met.select("anchor", "extents"), "anchor")
+    met = seeds.join(materialise(known, "met"), ["anchor", "extent"])
+    return met.filter("extents > 1 OR doc_id > owner").select("doc_id", "mark", (F.col("doc_id") > F.col("owner")).alias("whole"))
 
 
 def _listed(found: DataFrame) -> DataFrame:
@@ -165,14 +168,19 @@ def windows(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "w1 bigint, w2 bigint, doc_id bigint, mark bigint")
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans, text for every row of ``docs`` (doc_id, text; other columns ignored).
 
     spans are the merged ranges [start, past) of removed words, the maximal repeats of smaller doc_ids; text is what is kept, joined by
     one space.  Windows are judged on the input.  Null and short texts have no window and lose nothing.  A null doc_id is neither smaller
     nor larger than any: such rows lose nothing and take nothing.  Rows that share a doc_id don't take from each other.  An empty
     table gives no rows.
+
+    Any ``length`` from 1 gives the same result for any ``gram`` up to it; the default is GRAM, or half of a short length.
     """
+    gram = gram or max(1, min(GRAM, length // 2))
+    if not 1 <= gram <= length:
+        raise ValueError("gram must be from 1 to length")
     found = materialise(marks(materialise(anchors(docs, length, gram), "anchors")), "marks")
     base = docs.select("doc_id", version(F.col("text")).alias("version"), "text")
     on = ["doc_id", "version"]

@@ -43,6 +43,29 @@ def test_edges_by_sql(edge, nothing, run, sql):
     assert run(nothing).count() == 0
 
 
+@pytest.mark.parametrize("length", [1, 2, 5, 10, 49, 100, 200, 300])
+def test_substrings_of_any_length(spark, length):
+    """Shared passages, edited copies and texts of one repeated word, against windows one by one."""
+    def w(seed, n):
+        return [f"w{(seed * 7919 + i * i * 31 + i) % 997}" for i in range(n)]
+
+    base = w(1, 450)
+    texts = [base, w(2, 30) + base[:400], base[25:430] + w(3, 40), base[:200] + ["edit"] + base[201:], ["same"] * 700, ["same"] * 350 + ["end"], w(4, 20) + ["same"] * 310, base]
+    docs = spark.createDataFrame([(10 - i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in substring.dedup_substrings(docs, length=length).collect()}
+    first: dict = {}
+    by_id = {10 - i: t for i, t in enumerate(texts)}
+    for doc_id in sorted(by_id):
+        for i in range(len(by_id[doc_id]) - length + 1):
+            first.setdefault(tuple(by_id[doc_id][i : i + length]), doc_id)
+    for doc_id, t in by_id.items():
+        gone = set()
+        for i in range(len(t) - length + 1):
+            if first[tuple(t[i : i + length])] < doc_id:
+                gone.update(range(i, i + length))
+        assert got[doc_id] == (len(gone), " ".join(x for i, x in enumerate(t) if i not in gone)), (length, doc_id)
+
+
 def test_decontamination(edge, nothing, items):
     # items without an id count but are not listed
     want = by_sql(decontam.SQL, documents=edge.select("doc_id", "text"), benchmark=items)
