@@ -293,6 +293,13 @@ def _(x: Inputs):
     return pairs.select("report_id", "station", "obs_at", F.round("km", 6).alias("km"))
 
 
+@query("h3_oldest", ["reports", "observations"], """SELECT report_id, station, obs_at, round(km, 6) AS km FROM (
+   SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY obs_at, provider, station) AS n FROM pairs) q WHERE n <= 5 AND km < 101""", extra=_H)
+def _(x: Inputs):
+    pairs = P.interval_candidates(_probes(x).select("report_id", *P.PROBE), x.observations, limit=5)
+    return pairs.select("report_id", "station", "obs_at", F.round("km", 6).alias("km"))
+
+
 @query("h4_nearest", ["reports", "observations"], "SELECT report_id, station, obs_at, round(km, 6) AS km FROM best", extra=_H)
 def _(x: Inputs):
     probes = _probes(x)

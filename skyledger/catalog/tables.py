@@ -281,21 +281,33 @@ def _(x: Inputs):
     return _audit_flat(W.audit_entries(_decided(x)[1], "verification:disputed", 100))
 
 
-_BULK = "SELECT doc_id AS position, doc_id * 26 AS report_id FROM labels WHERE quality = 1 ORDER BY doc_id LIMIT 200"
+_BULK = "SELECT doc_id AS position, doc_id * 26 AS report_id FROM labels"
 
 
-@query("l2_bulk", ["reports"], """SELECT count(r.report_id) AS updated,
-   coalesce(string_agg(CASE WHEN r.report_id IS NULL THEN CAST(b.report_id AS VARCHAR) END, ',' ORDER BY b.position), '') AS missing, 'disputed' AS status,
+def _bulk(x: Inputs) -> W.Bulk:
+    return W.apply_bulk(x.full_reports, x.sql([], _BULK), "disputed", "storm", "u1", _LATER)
+
+
+@query("l2_bulk", ["reports"], """SELECT count(r.report_id) AS updated, count(*) - count(r.report_id) AS missing, 'disputed' AS status,
    (SELECT string_agg(CAST(report_id AS VARCHAR), ',' ORDER BY position) FROM (SELECT b2.* FROM bulk b2 SEMI JOIN reports r2 ON b2.report_id = r2.report_id
      ORDER BY position LIMIT 50) f) AS entity_id,
    (SELECT count(*) FROM reports WHERE verification_status = 'disputed' OR report_id IN (SELECT report_id FROM bulk)) AS disputed_after
   FROM bulk b LEFT JOIN reports r ON b.report_id = r.report_id""", extra={"bulk": _BULK})
 def _(x: Inputs):
-    after, result, audit = W.apply_bulk(x.full_reports, x.sql([], _BULK), "disputed", "storm", "u1", _LATER)
-    return result.select(
-        "updated", F.array_join("missing", ",").alias("missing"), "status", audit.select("entity_id").scalar().alias("entity_id"),
-        after.filter("verification_status = 'disputed'").agg(F.count(F.lit(1))).scalar().alias("disputed_after"),
-    )
+    done = _bulk(x)
+    return done.result.withColumn("disputed_after", done.reports.filter("verification_status = 'disputed'").agg(F.count(F.lit(1))).scalar())
+
+
+@query("l2_missing", ["reports"], "SELECT position, CAST(report_id AS VARCHAR) AS id FROM bulk b ANTI JOIN reports r ON b.report_id = r.report_id", extra={"bulk": _BULK})
+def _(x: Inputs):
+    return _bulk(x).missing
+
+
+@query("l2_audit", ["reports"], """SELECT 'bulk_verification:disputed' AS action, count(*) AS ids, string_agg(CAST(report_id AS VARCHAR), ',' ORDER BY position) FILTER (n <= 50) AS entity_id
+  FROM (SELECT *, row_number() OVER (PARTITION BY position // 1000 ORDER BY position) AS n FROM bulk b SEMI JOIN reports r ON b.report_id = r.report_id) q
+  GROUP BY position // 1000""", extra={"bulk": _BULK})
+def _(x: Inputs):
+    return _bulk(x).audit.select("action", F.size(F.from_json("after", "ids array<string>")["ids"]).cast("bigint").alias("ids"), "entity_id")
 
 
 @query("l4_runs", ["runs"], "SELECT id, source, status, started_at, finished_at, fetched, published, duplicates, errors, last_error FROM runs WHERE source = 'rss' ORDER BY started_at DESC, id LIMIT 50")

@@ -2,15 +2,14 @@
 
 No step broadcasts by hand.  Each lookup is an equi-join against a table unique
 on its key, so Spark broadcasts it while it is small (by its measured size) and
-shuffles it, splitting skewed keys, when it is not.  Substring search uses an
-inlined name list up to ``INLINE_MAX`` names and a 4-gram equi-join beyond;
-both find the same.
+shuffles it, splitting skewed keys, when it is not.  Names are found in texts
+by equality as well: from every place in a text, as many characters as a name
+of that beginning can have.
 """
 
 from __future__ import annotations
 
 import difflib
-import json
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -24,13 +23,14 @@ from skyledger.functions.text import norm_place
 from skyledger.session import materialise
 from skyledger.sources import dims
 
-INLINE_MAX = 2_000
-GRAM = 4
+#: Characters that a name and a place in a text must share before lengths are tried, at most, and characters of a text that one row searches.
+LEAD = 4
+CHUNK_CHARS = 10_000
+#: Cities that a cell holds unless it is split, and the level at which cells are split no more (a hundred-thousandth of a degree).
+FEW = 16
+DEEPEST = 17
 
 PLACE = ["city", "state", "district", "lat", "lon"]
-_PLACE_TYPE = "struct<city:string,state:string,district:string,lat:double,lon:double>"
-_NAMES_TYPE = "array<struct<name:string,place:" + _PLACE_TYPE + ">>"
-
 
 _seeds: dict[str, Gazetteer] = {}
 
@@ -139,34 +139,34 @@ class Gazetteer:
         return [(False, whole), (True, squeezed)]
 
     @cached_property
-    def inlined(self) -> list[tuple[bool, list | None]]:
-        """The name lists as rows, or None for a list over ``INLINE_MAX``."""
-        out = []
-        for squeezed, names in self.text_names:
-            rows = names.orderBy("rank").select("name", "place").limit(INLINE_MAX + 1).collect()
-            out.append((squeezed, None if len(rows) > INLINE_MAX else [r.asDict(recursive=True) for r in rows]))
-        return out
-
-    @cached_property
-    def gram_sizes(self) -> list[list[int]]:
-        """Per name list the lengths of the names' first grams: ``GRAM``, or less for a shorter name."""
-        size = F.least(F.length("name"), F.lit(GRAM)).alias("size")
-        return [sorted(r.size for r in names.select(size).distinct().collect()) for _, names in self.text_names]  # at most GRAM rows
+    def searched(self) -> list[tuple[bool, NameList]]:
+        """The name lists ready for the search: (on squeezed text, list)."""
+        return [(squeezed, NameList.of(names)) for squeezed, names in self.text_names]
 
     @cached_property
-    def cells(self) -> DataFrame:
-        """1-degree cell -> cities of it and its eight neighbours, in file order.
+    def cells(self) -> list[DataFrame]:
+        """Per level the cells of half the width before (level 0: 1 degree) with their cities, at most ``FEW``, or null if the next level splits them.
 
-        The search radius is under one degree both ways, so one cell is enough.
+        Of cities at one point the first in the file counts.
         """
-        near = F.explode(
-            F.array(*[
-                F.struct((F.floor("lat") + i).cast("int").alias("cell_y"), (F.floor("lon") + j).cast("int").alias("cell_x"))
-                for i in (-1, 0, 1) for j in (-1, 0, 1)
-            ])
-        )
-        placed = self.cities.select(F.struct("ord", *PLACE).alias("c"), near.alias("cell"))
-        return _settled(placed.groupBy("cell.cell_y", "cell.cell_x").agg(F.array_sort(F.collect_list("c")).alias("around")))
+        point = F.min(F.struct("ord", "city", "state", "district")).alias("c")
+        rest = _settled(self.cities.filter("lat IS NOT NULL AND lon IS NOT NULL").groupBy("lat", "lon").agg(point).select(F.struct("c.ord", "c.city", "c.state", "c.district", "lat", "lon").alias("c")))
+        out = []
+        for level in range(DEEPEST + 1):
+            keyed = rest.withColumns({"y": _cell(F.col("c.lat"), level), "x": _cell(F.col("c.lon"), level)})
+            sizes = keyed.groupBy("y", "x").agg(F.count(F.lit(1)).alias("n"))
+            full = _settled(sizes.filter(F.lit(level < DEEPEST) & (F.col("n") > FEW)).select("y", "x"))
+            few = keyed.join(full, ["y", "x"], "left_anti").groupBy("y", "x").agg(F.array_sort(F.collect_list("c")).alias("held"))
+            out.append(_settled(few.unionByName(full.withColumn("held", F.lit(None).cast(few.schema["held"].dataType)))))
+            if full.isEmpty():
+                break
+            rest = _settled(keyed.join(full, ["y", "x"], "left_semi").select("c"))
+        return out
+
+
+def _cell(degrees: Column, level: int) -> Column:
+    """Number of the cell of 2^-level degrees."""
+    return F.floor(degrees * float(1 << level)).cast("bigint")
 
 
 def _beginnings() -> Column:
@@ -181,26 +181,50 @@ def _state_place(state: Column) -> Column:
 
 # -- nearest ----------------------------------------------------------------
 def nearest_city(df: DataFrame, gaz: Gazetteer, lat: Column, lon: Column, name: str = "near") -> DataFrame:
-    """Add the nearest city within the radius as a struct (null if none).
+    """Add the nearest city within the radius as a struct (null if none); of equally near ones the first in the file.
 
-    One 1:1 join on the cell; the minimum is taken inside the row, so the report
-    side is neither multiplied nor grouped.
+    Distinct places go down the levels of ``gaz.cells`` together.  At each level a place keeps the cells that can still hold its nearest
+    city: nearer than the radius and than the farthest corner of any cell it keeps.  Where cities are dense few cells are left, so
+    no place meets more than a handful of lists of at most ``FEW``, and the rows of ``df`` are joined once.
     """
-    keyed = df.withColumns({"_lat": lat, "_lon": lon}).withColumns(
-        {"cell_y": F.floor("_lat").cast("int"), "cell_x": F.floor("_lon").cast("int")}
-    )
-    joined = keyed.join(gaz.cells, ["cell_y", "cell_x"], "left")
-    measured = F.transform(
-        "around",
-        lambda c: F.struct(
-            flat_metric(F.col("_lat"), F.col("_lon"), c["lat"], c["lon"]).alias("d2"), c["ord"].alias("ord"),
-            *[c[p].alias(p) for p in PLACE],
-        ),
-    )
-    close = F.filter(measured, lambda m: m["d2"] < V.NEAREST_CITY_DEGREES**2)
-    best = F.array_min(close)
-    found = F.when(best.isNotNull(), F.struct(*[best[p].alias(p) for p in PLACE]))
-    return joined.withColumn(name, found).drop("_lat", "_lon", "cell_y", "cell_x", "around")
+    keyed = df.withColumns({"_lat": lat, "_lon": lon})
+    places = materialise(keyed.select("_lat", "_lon").filter("_lat IS NOT NULL AND _lon IS NOT NULL").distinct(), "places")
+    reach = F.explode(F.array(*[F.struct((_cell(F.col("_lat"), 0) + i).alias("y"), (_cell(F.col("_lon"), 0) + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    asked = places.withColumn("cell", reach).select("_lat", "_lon", "cell.*", F.lit(float(V.NEAREST_CITY_DEGREES**2)).alias("most"))
+    found = []
+    for level, cells in enumerate(gaz.cells):
+        met = materialise(asked.join(cells, ["y", "x"]), "cells-met")
+        measured = F.transform("held", lambda c: F.struct(flat_metric(F.col("_lat"), F.col("_lon"), c["lat"], c["lon"]).alias("d2"), c["ord"].alias("ord"), *[c[p].alias(p) for p in PLACE]))
+        found.append(met.filter("held IS NOT NULL").select("_lat", "_lon", F.array_min(F.filter(measured, lambda m: m["d2"] < V.NEAREST_CITY_DEGREES**2)).alias("best")))
+        if level + 1 == len(gaz.cells):
+            break
+        # a cell that is split holds a city, so the nearest one is no farther than its farthest corner
+        near, far = _corners(level)
+        most = F.least(F.min(F.when(F.col("held").isNull(), far)), F.min("most"))
+        least = met.groupBy("_lat", "_lon").agg(most.alias("least"))
+        child = F.explode(F.array(*[F.struct((F.col("y") * 2 + i).alias("y"), (F.col("x") * 2 + j).alias("x")) for i in (0, 1) for j in (0, 1)]))
+        split = met.filter("held IS NULL").join(least, ["_lat", "_lon"]).filter(near <= F.col("least") * (1 + 1e-9))
+        asked = split.select("_lat", "_lon", F.col("least").alias("most"), child.alias("cell")).select("_lat", "_lon", "cell.*", "most")
+        asked = asked.filter(_corners(level + 1)[0] <= F.col("most") * (1 + 1e-9))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    best = every.filter("best IS NOT NULL").groupBy("_lat", "_lon").agg(F.min("best").alias("best"))
+    best = materialise(best.select("_lat", "_lon", F.struct(*[F.col(f"best.{p}").alias(p) for p in PLACE]).alias(name)), "nearest")
+    return keyed.join(best, ["_lat", "_lon"], "left").select(*[keyed[c] for c in df.columns], name)
+
+
+def _corners(level: int) -> tuple[Column, Column]:
+    """Least and largest squared distance from (_lat, _lon) to the cell (y, x), as ``flat_metric`` measures it."""
+    width = 1.0 / (1 << level)
+
+    def gaps(at: str, cell: str, scale: float = 1.0) -> tuple[Column, Column]:
+        low, high = F.col(cell) * width, (F.col(cell) + 1) * width
+        near = F.greatest(low - F.col(at), F.col(at) - high, F.lit(0.0))
+        return near * scale, F.greatest(F.abs(F.col(at) - low), F.abs(high - F.col(at))) * scale
+
+    (near_y, far_y), (near_x, far_x) = gaps("_lat", "y"), gaps("_lon", "x", V.LON_SHRINK)
+    return near_y * near_y + near_x * near_x, far_y * far_y + far_x * far_x
 
 
 # -- by name ----------------------------------------------------------------
@@ -279,53 +303,59 @@ def squeeze(low: Column) -> Column:
     return F.regexp_replace(low, f"[^a-z0-9{V.DEVANAGARI}]+", "")
 
 
-def _contained(text: Column, rows: list) -> Column:
-    """First name of the list that the text contains, as a place."""
-    names = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), _NAMES_TYPE)
-    return F.get(F.filter(names, lambda n: F.contains(text, n["name"])), 0)["place"]
+@dataclass(frozen=True, eq=False)
+class NameList:
+    """Names with rank and place, the name lengths there are per ``lead`` first characters, and the longest name."""
 
+    names: DataFrame
+    lengths: DataFrame
+    lead: int
+    longest: int
 
-def _contained_by_gram(df: DataFrame, text: Column, names: DataFrame, sizes: list[int], out: str) -> DataFrame:
-    """The same for long lists: distinct texts meet names on a 4-gram, those
-    shorter than that on the whole name (``sizes``: the lengths there are)."""
-    texts = df.select(text.alias("_t")).filter("_t IS NOT NULL").distinct()
-    each = [F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes or [GRAM]]
-    grams = F.array_distinct(F.concat(*each))
-    probe = once(texts, _g=grams).select("_t", F.explode("_g").alias("gram"))
-    keyed = names.withColumn("gram", F.substring("name", 1, GRAM))
-    hits = probe.join(keyed, "gram").filter(F.contains("_t", F.col("name")))
-    first = hits.groupBy("_t").agg(F.min_by("place", F.col("rank")).alias(out))
-    return df.withColumn("_t", text).join(first, "_t", "left").drop("_t")
+    @staticmethod
+    def of(names: DataFrame) -> NameList:
+        one = _settled(names.groupBy("name").agg(F.min_by("place", "rank").alias("place"), F.min("rank").alias("rank")))
+        shortest, longest = one.agg(F.min(F.length("name")), F.max(F.length("name"))).first()
+        lead = min(LEAD, shortest or LEAD)
+        lengths = one.groupBy(F.substring("name", 1, lead).alias("start")).agg(F.collect_set(F.length("name")).alias("lengths"))
+        return NameList(one, _settled(lengths), lead, longest or lead)
+
+
+def _first_name(df: DataFrame, text: Column, listed: NameList, out: str) -> DataFrame:
+    """Add the place of the first name (by rank) that the text contains.
+
+    Distinct texts are read once.  From every place of a text its next characters are taken, as many as the longest name has; a join on
+    the first few tells which lengths can occur there, a second one on the whole name decides.  So a text meets only names that
+    begin like some part of it, whatever the size of the list, and no text is searched name by name.
+    """
+    texts = df.select(text.alias("_t")).filter(F.length("_t") >= listed.lead).distinct()
+    texts = materialise(texts.select("_t", F.monotonically_increasing_id().alias("_id")), "texts")
+    chunk = F.explode(F.sequence(F.lit(0), F.expr(f"(length(_t) - 1) div {CHUNK_CHARS}").cast("int")))
+    chunks = texts.select("_id", "_t", chunk.alias("_n")).select("_id", F.substr("_t", F.col("_n") * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS + listed.longest - 1)).alias("_t"))
+    tails = F.array_distinct(F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{listed.lead},{listed.longest}}}))"), F.lit(1)))
+    places = once(chunks, _tails=tails).select("_id", F.explode("_tails").alias("tail"))
+    tried = places.withColumn("start", F.substring("tail", 1, listed.lead)).join(listed.lengths, "start").select("_id", "tail", F.explode("lengths").alias("n"))
+    pieces = tried.filter(F.length("tail") >= F.col("n")).select("_id", F.substr("tail", F.lit(1), F.col("n")).alias("name"))
+    found = pieces.join(listed.names, "name").groupBy("_id").agg(F.min_by("place", "rank").alias(out))
+    known = materialise(texts.join(found, "_id").select("_t", out), "named")
+    return df.withColumn("_t", text).join(known, "_t", "left").drop("_t")
 
 
 def place_in_text(df: DataFrame, gaz: Gazetteer, text: Column, name: str = "in_text", when: Column | None = None) -> DataFrame:
     """Place named in the text: city names (longest first), then city aliases,
     state aliases and state names on the text without separators."""
     low = F.lower(text if when is None else F.when(when, text))
-    found: list[Column] = []
-    for i, ((squeezed, rows), (_s, names)) in enumerate(zip(gaz.inlined, gaz.text_names)):
-        target = squeeze(low) if squeezed else low
-        if rows is not None:
-            found.append(_contained(target, rows))
-        else:
-            df = _contained_by_gram(df, target, names, gaz.gram_sizes[i], f"_list{i}")
-            found.append(F.col(f"_list{i}"))
-    return df.withColumn(name, F.coalesce(*found)).drop("_list0", "_list1")
+    for i, (squeezed, listed) in enumerate(gaz.searched):
+        df = _first_name(df, squeeze(low) if squeezed else low, listed, f"_list{i}")
+    return df.withColumn(name, F.coalesce("_list0", "_list1")).drop("_list0", "_list1")
 
 
 def city_in_text(df: DataFrame, gaz: Gazetteer, text: Column, name: str = "named") -> DataFrame:
-    (squeezed, rows), (_s, names) = gaz.inlined[0], gaz.text_names[0]
-    if rows is None:
-        return _contained_by_gram(df, F.lower(text), names, gaz.gram_sizes[0], name)
-    return df.withColumn(name, _contained(F.lower(text), rows))
+    return _first_name(df, F.lower(text), gaz.searched[0][1], name)
 
 
 def alias_in_text(df: DataFrame, gaz: Gazetteer, text: Column, name: str = "aliased") -> DataFrame:
-    (squeezed, rows), (_s, names) = gaz.inlined[1], gaz.text_names[1]
-    target = squeeze(F.lower(text))
-    if rows is None:
-        return _contained_by_gram(df, target, names, gaz.gram_sizes[1], name)
-    return df.withColumn(name, _contained(target, rows))
+    return _first_name(df, squeeze(F.lower(text)), gaz.searched[1][1], name)
 
 
 # -- cascade ----------------------------------------------------------------

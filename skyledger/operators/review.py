@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from skyledger.session import materialise
+
 BULK_ENTITY_IDS = 50
+BULK_BLOCK = 1000
 AUDIT_LIMIT_MAX = 1000
 RUNS_LIMIT_MAX = 500
 
@@ -75,33 +79,46 @@ def apply_decisions(
     return after, audit
 
 
+@dataclass(frozen=True, eq=False)
+class Bulk:
+    """What a bulk decision did: the reports after it, one row of counts, the ids that no report has, and the audit rows."""
+
+    reports: DataFrame
+    result: DataFrame
+    missing: DataFrame
+    audit: DataFrame
+
+
 def apply_bulk(
     reports: DataFrame, ids: DataFrame, status: str, note: str | None, reviewer: str, at: dt.datetime,
     id_column: str = "report_id",
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One status for all given ids (columns ``position``, id): the reports, a
-    one-row result (updated, missing, status) and one audit row.  The audit
-    row names the first ids in ``entity_id`` and lists them all in ``after``."""
+) -> Bulk:
+    """One status for all given ids (distinct integer ``position``, id).
+
+    ``result`` has updated, missing (counts), status and the first updated ids in ``entity_id``; ``missing`` is a row per unknown id.  The
+    audit has one row per block of ``BULK_BLOCK`` positions, which lists the updated ids of the block in ``after`` and names its first
+    ones in ``entity_id``; so ids of any number never meet in one row.
+    """
     known = reports.select(id_column, F.lit(True).alias("_known"))
-    marked = ids.join(known, id_column, "left")
-    entry = F.struct("position", F.col(id_column).cast("string").alias("id"))
+    marked = ids.join(known, id_column, "left").select("position", F.col(id_column).cast("string").alias("id"), F.col("_known").isNotNull().alias("found"))
+    marked = materialise(marked, "bulk")
+    entry = F.struct("position", "id")
 
-    def listed(cond: Column) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.when(cond, entry))), lambda e: e["id"])
+    def listed(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["id"]).alias("ids"))
 
-    lists = marked.agg(
-        listed(F.col("_known").isNotNull()).alias("updated"), listed(F.col("_known").isNull()).alias("missing")
-    )
-    result = lists.select(
-        F.size("updated").cast("bigint").alias("updated"), F.col("missing"), F.lit(status).alias("status")
+    first = listed(marked.filter("found").orderBy("position").limit(BULK_ENTITY_IDS))
+    result = marked.agg(F.count_if("found").alias("updated"), F.count_if(~F.col("found")).alias("missing")).select(
+        "updated", "missing", F.lit(status).alias("status"), F.array_join(first.select("ids").scalar(), ",").alias("entity_id")
     )
-    audit = lists.select(
+    blocks = listed(marked.filter("found").withColumn("block", F.expr(f"position div {BULK_BLOCK}")), "block")
+    audit = blocks.select(
         F.lit(reviewer).alias("user_id"),
         F.lit(f"bulk_verification:{status}").alias("action"),
         F.lit("reports").alias("entity"),
-        F.array_join(F.slice("updated", 1, BULK_ENTITY_IDS), ",").alias("entity_id"),
+        F.array_join(F.slice("ids", 1, BULK_ENTITY_IDS), ",").alias("entity_id"),
         F.lit(None).cast("string").alias("before"),
-        F.to_json(F.struct(F.col("updated").alias("ids"), F.lit(note).cast("string").alias("note")), {"ignoreNullFields": "false"}).alias("after"),
+        F.to_json(F.struct("ids", F.lit(note).cast("string").alias("note")), {"ignoreNullFields": "false"}).alias("after"),
         F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz").alias("created_at"),
     )
     decisions = ids.select(
@@ -109,7 +126,7 @@ def apply_bulk(
         F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz").alias("decided_at"), F.col("position").alias("decision_id"),
     )
     after, _each = apply_decisions(reports, decisions, id_column)
-    return after, result, audit
+    return Bulk(after, result, marked.filter("NOT found").select("position", "id"), audit)
 
 
 def audit_entries(audit: DataFrame, action: str | None = None, limit: int = 100) -> DataFrame:

@@ -56,27 +56,50 @@ def test_long_name_lists_give_the_same(spark, gaz, monkeypatch):
     texts = ["rain in mumbai and pune", "बिहार में बाढ़", "storm in Banga-lore", "over Tamil Nadu", "nothing", "Thiruvananthapuram to Kochi"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     want = {r.t: r.in_text for r in G.place_in_text(df, gaz, F.col("t")).collect()}
-    monkeypatch.setattr(G, "INLINE_MAX", 0)
-    other = Gazetteer(gaz.cities, gaz.aliases)
+    more = spark.range(100_000).select(
+        (F.col("id") + 1000).cast("int").alias("ord"), F.concat(F.lit("Puram "), F.sha2(F.col("id").cast("string"), 256).substr(F.lit(1), (F.col("id") % 9 + 8).cast("int"))).alias("city"),
+        F.lit("Far").alias("state"), F.lit("").alias("district"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"),
+    )
+    other = Gazetteer(gaz.cities.unionByName(more), gaz.aliases)
+    monkeypatch.setattr(G, "CHUNK_CHARS", 7)  # texts are searched in many overlapping parts
     got = {r.t: r.in_text for r in G.place_in_text(df, other, F.col("t")).collect()}
     assert got == want and want["nothing"] is None and want["storm in Banga-lore"].city == "Bengaluru"
-
-
-def test_short_and_empty_squeezed_names_in_lists_of_any_size(spark, gaz, monkeypatch):
+    named = more.filter("ord IN (1005, 1017, 90000)").select("ord", F.concat(F.lit("x" * 30), F.lower("city"), F.lit("!")).alias("t"))
+    found = G.city_in_text(named, other, F.col("t")).join(more.select("ord", F.col("city").alias("wanted")), "ord").collect()
+    assert len(found) == 3 and all(r.named.city == r.wanted for r in found)
+
+
+def test_nearest_among_very_many(spark):
+    """Cities crowded in a corner and spread thin elsewhere: the nearest is that of comparing with all, and no list grows with the crowd."""
+    import random
+
+    rnd = random.Random(8)
+    crowd = [(10 + rnd.random() * 0.01, 20 + rnd.random() * 0.01) for _ in range(3000)] + [(10.5, 20.5)] * 200 + [(rnd.uniform(8, 12), rnd.uniform(18, 22)) for _ in range(200)]
+    cities = [(i, f"c{i}", "s", "", a, b) for i, (a, b) in enumerate(crowd)]
+    gaz = Gazetteer(spark.createDataFrame(cities, "ord int, city string, state string, district string, lat double, lon double"), None)
+    asked = [(rnd.uniform(7, 13), rnd.uniform(17, 23)) for _ in range(150)] + [(10 + rnd.random() * 0.02, 20 + rnd.random() * 0.02) for _ in range(100)] + [(10.5, 20.5), (None, 3.0), (-89.9, 179.9)]
+    df = spark.createDataFrame(asked * 2, "a double, b double")
+    got = G.nearest_city(df, gaz, F.col("a"), F.col("b")).collect()
+    assert len(got) == len(asked) * 2 and df.columns + ["near"] == G.nearest_city(df, gaz, F.col("a"), F.col("b")).columns
+    for r in got:
+        best = min(((a - r.a) ** 2 + ((b - r.b) * V.LON_SHRINK) ** 2, i) for i, (a, b) in enumerate(crowd)) if r.a is not None else (9e9, 0)
+        assert (r.near and r.near.city) == (f"c{best[1]}" if best[0] < V.NEAREST_CITY_DEGREES**2 else None)
+    assert len(gaz.cells) > 5 and all((c.agg(F.max(F.size("held"))).first()[0] or 0) <= G.FEW for c in gaz.cells)
+
+
+def test_short_and_empty_squeezed_names(spark, gaz):
     places = [(0, "Sydney", "N.S.W.", "", -33.9, 151.2), (1, "Patna", "बिहार राज्य", "", 25.6, 85.1), (2, "Perth", "W. A. !", "", -31.9, 115.9)]
     cities = spark.createDataFrame(places, "ord int, city string, state string, district string, lat double, lon double")
     texts = ["floods in N.S.W. today", "nsw", "dry in w.a.", "Sydney", "nothing", "", "ns", "over Tamil Nadu"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for most in (G.INLINE_MAX, 0):
-        monkeypatch.setattr(G, "INLINE_MAX", most)
-        small = Gazetteer(cities, gaz.aliases)
-        got = {r.t: r.p.city if r.p else None for r in G.place_in_text(df, small, F.col("t"), "p").collect()}
-        assert got == {
-            "floods in N.S.W. today": "N.S.W.", "nsw": "N.S.W.", "dry in w.a.": "W. A. !", "Sydney": "Sydney", "nothing": None, "": None, "ns": None,
-            "over Tamil Nadu": None,
-        }
-        named = {r.t: r.p.city if r.p else None for r in G.alias_in_text(df, small, F.col("t"), "p").collect()}
-        assert named == got | {"Sydney": None}
+    small = Gazetteer(cities, gaz.aliases)
+    got = {r.t: r.p.city if r.p else None for r in G.place_in_text(df, small, F.col("t"), "p").collect()}
+    assert got == {
+        "floods in N.S.W. today": "N.S.W.", "nsw": "N.S.W.", "dry in w.a.": "W. A. !", "Sydney": "Sydney", "nothing": None, "": None, "ns": None,
+        "over Tamil Nadu": None,
+    }
+    named = {r.t: r.p.city if r.p else None for r in G.alias_in_text(df, small, F.col("t"), "p").collect()}
+    assert named == got | {"Sydney": None}
 
 
 def test_clean_html(spark):

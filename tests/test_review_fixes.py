@@ -14,10 +14,13 @@ AT = dt.datetime(2024, 1, 1)
 def test_bulk_takes_every_id(spark):
     reports = spark.range(300).selectExpr("id AS report_id", "'pending' AS verification_status", "CAST(NULL AS string) AS verification_note")
     ids = spark.range(250).selectExpr("id AS position", "id * 2 AS report_id")
-    after, result, _audit = review.apply_bulk(reports, ids, "verified", None, "me", AT)
-    row = result.first()
-    assert row.updated == 150 and len(row.missing) == 100
-    assert after.filter("verification_status = 'verified'").count() == 150
+    done = review.apply_bulk(reports, ids, "verified", None, "me", AT)
+    row = done.result.first()
+    assert (row.updated, row.missing) == (150, 100) and len(row.entity_id.split(",")) == 50
+    assert sorted(int(r.id) for r in done.missing.collect()) == list(range(300, 500, 2))
+    assert done.reports.filter("verification_status = 'verified'").count() == 150
+    none = review.apply_bulk(reports, ids.limit(0), "verified", None, "me", AT)
+    assert none.result.first()[:2] == (0, 0) and none.audit.count() == 0 and none.missing.count() == 0
 
 
 def test_rule_with_a_known_term_and_its_own_pattern(spark):
@@ -46,9 +49,9 @@ def test_box_is_read_and_checked():
 
 
 def test_stored_duplicate_points_at_the_original(spark):
-    from skyledger.streaming.stream import EMPTY_REPORT
+    from skyledger.streaming.reportlog import REPORT
 
-    empty = spark.createDataFrame([], EMPTY_REPORT)
+    empty = spark.createDataFrame([], REPORT)
     row = {f.name: None for f in empty.schema}
     base = row | {"source": "rss", "text": "t", "observed_at": AT, "media": [], "is_duplicate": False, "credibility_features": "{}", "plausibility": "{}"}
     batch = spark.createDataFrame(
