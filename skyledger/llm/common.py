@@ -33,6 +33,16 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.to_pylist()
 
 
+def fitting(content: dict, path: str, normalizer, pre_tokenizer, **model) -> dict:
+    """The tokenizer file ``content``, if its text handling and the given settings of its model are those that the caller works by."""
+    found = {"normalizer": content.get("normalizer"), "pre_tokenizer": content.get("pre_tokenizer")} | {k: content["model"].get(k) for k in ("type", *model)}
+    wanted = {"normalizer": normalizer, "pre_tokenizer": pre_tokenizer, "type": "BPE"} | model
+    other = [k for k in wanted if found[k] != wanted[k]]
+    if other:
+        raise ValueError(f"{path}: not a file for this operator, it differs in {', '.join(other)}")
+    return content
+
+
 def slices(sizes: list[int], limit: int):
     """Consecutive (from, to) row ranges of about ``limit`` bytes; a longer row is a range of its own."""
     start = held = 0

@@ -21,8 +21,6 @@ from skyledger.llm.common import slices, text_bytes
 ORDER = 3
 #: Labelled documents that training reads per language, at most.
 TRAIN_DOCS = 400
-#: A context of three bytes has a table row of its own if training saw it so often, in all languages.
-LEAST_SEEN = 3
 #: A text that costs more bits per byte than this in its best language is in none of them: well above the 8 of raw bytes, since a
 #: short sentence around a random token comes near those.
 MOST_BITS = 10.0
@@ -48,9 +46,7 @@ class Model:
         a = self.width = int(self.code.max()) + 1
         c = self.code[bytes_of]
         pair, triple = c[:, 1] * a + c[:, 2], (c[:, 0] * a + c[:, 1]) * a + c[:, 2]
-        often, times = np.unique(triple), np.bincount(triple, n, a**3)
-        pairs = np.unique(pair)
-        triples = often[times[often] >= LEAST_SEEN]
+        pairs, triples = np.unique(pair), np.unique(triple)
         # states: a contexts of one byte, then those of two, then those of three
         two = np.tile(np.arange(a), a)
         two[pairs] = a + np.arange(len(pairs))
@@ -140,13 +136,14 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """A model of the labelled documents (doc_id, text, lang) outside the held-out fold.
 
     Per language it reads the ``most`` documents whose doc_ids hash lowest, whole; what comes to the driver are their n-gram counts.  Rows
-    without doc_id, text or lang teach nothing; of rows that repeat a doc_id one does.  Without any, the model knows no language.
+    without doc_id, text or lang teach nothing; of rows that repeat a doc_id the least (lang, text) does.  Without any, the model knows no language.
     """
     fold = docs.filter("text IS NOT NULL AND text != '' AND lang IS NOT NULL AND doc_id IS NOT NULL").filter(in_training())
     fold = fold.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
     lowest = W.partitionBy("lang").orderBy("h")
     bound = fold.select("lang", "h").withColumn("place", F.row_number().over(lowest)).filter(F.col("place") <= most).groupBy("lang").agg(F.max("h").alias("most"))
-    sample = fold.join(F.broadcast(bound), "lang").filter("h <= most").dropDuplicates(["doc_id"]).select("lang", "text")  # one row per language
+    sample = fold.join(F.broadcast(bound), "lang").filter("h <= most")  # one row per language
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("one")).select("one.*")
     rows = sample.mapInArrow(_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique().tolist())
     numbers = {name: k for k, name in enumerate(langs)}

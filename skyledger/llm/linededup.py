@@ -121,7 +121,10 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
             part = part.filter((F.col("doc_id") <= upper) if lower is not None else ((F.col("doc_id") <= upper) | F.col("doc_id").isNull()))
         runs.add(doc_lines(part, least_chars))
         upper = lower
-    return runs.merged().filter(F.col("n_docs") >= least_docs).select("hash", "owner")
+    # written, so that what joins it shuffles both sides itself and Spark can split the places of a very common line
+    found = materialise(runs.merged().filter(F.col("n_docs") >= least_docs).select("hash", "owner"), "repeated-lines")
+    runs.close()
+    return found
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -131,8 +134,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     largest doc_id of a line they all keep it.  A null doc_id is below all others; a line found under null ids only is kept
     there.  A line that occurs several times in its last document keeps all its places.  An empty table gives no rows.
     """
-    # written, so that the join shuffles both sides itself and Spark can split the places of a very common line
-    repeated = materialise(repeated_lines(docs, least_chars, least_docs, batches, fanout), "repeated-lines")
+    repeated = repeated_lines(docs, least_chars, least_docs, batches, fanout)
     places = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(keys_of(F.col("text"), least_chars)).alias("pos", "hash"))
     places = places.filter("hash IS NOT NULL").join(repeated, "hash").filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
     drops = places.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("drops"))  # no more than the lines of one text

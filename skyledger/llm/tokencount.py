@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from skyledger.llm.common import slices, text_bytes
+from skyledger.llm.common import fitting, slices, text_bytes
 from skyledger.llm.tokenpack import byte_alphabet
 
 LIMIT = 1024
@@ -29,6 +29,9 @@ MERGED_AT_ONCE = 2_000_000
 # fixed values: the split of byte-level vocabularies, with the white space of its engine written out
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+# fixed values: the text handling and the model settings that files of this kind have
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_PLAIN_BPE = {"dropout": None, "unk_token": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 _NONE = np.iinfo(np.int64).max
 
 
@@ -37,7 +40,7 @@ class Merges:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            content = json.load(file)
+            content = fitting(json.load(file), path, None, _BYTE_LEVEL, **_PLAIN_BPE)
         vocab = content["model"]["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in content["model"]["merges"]]
         self.specials = [t["content"] for t in content["added_tokens"]]
@@ -131,9 +134,10 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs`` (doc_id, text; other columns ignored).
 
     Counts equal those of the tokenizers library without added special tokens; special strings inside a text are one token.  A null or empty
-    text has no bytes and no tokens.  Repeated rows and null doc_ids are counted like any other; an empty table gives no rows.
+    text has no bytes and no tokens.  A file whose normalizer, pre-tokenizer or model is of another kind is refused.  Repeated rows and null doc_ids are counted like any other; an empty table gives no rows.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
+    counter(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)

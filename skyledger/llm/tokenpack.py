@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import itertools
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tokenizers import Tokenizer
 
 from skyledger.llm import simple8b
-from skyledger.llm.common import slices
+from skyledger.llm.common import fitting, slices
 from skyledger.session import scratch_path
 
 END_ID = 1
@@ -38,6 +39,16 @@ BLOCK = "part int, block int, ids_before bigint, n_ids bigint, doc_ids array<big
 # fixed values: what the file's pre-tokenizer does after folding case; \s written out as its engine has it below U+0250
 # and with the line ends between words as pieces of their own
 _PIECES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_MODEL = {"dropout": None, "unk_token": None, "end_of_word_suffix": "</w>", "byte_fallback": False, "ignore_merges": False}
 #: Above this code point (composition, other alphabets) and for special tokens, the library takes the word as a whole.
 _PLAIN = regex.compile(r"[^\u0250-\U0010ffff]*")
 
@@ -78,6 +89,8 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            fitting(json.load(file), path, _NORMALIZER, _PRE_TOKENIZER, **_MODEL)
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = byte_alphabet()
@@ -210,12 +223,13 @@ def _blocks(path: str):
 def write_ids(docs: DataFrame, folder: str, path: str) -> None:
     """Write the ids of ``docs`` (doc_id, text; other columns ignored) as blocks into ``folder``.
 
-    ``path`` is the tokenizer's file.  A null text is empty and has the end id alone.  Null doc_ids come first; equal doc_ids are ordered by
+    ``path`` is the tokenizer's file; one whose normalizer, pre-tokenizer or model is of another kind is refused.  A null text is empty and has the end id alone.  Null doc_ids come first; equal doc_ids are ordered by
     a hash of their texts.  An empty table gives no blocks.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     ordered = keyed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    word_ids(path)
     ordered.mapInArrow(_blocks(path), BLOCK).write.parquet(folder)
 
 

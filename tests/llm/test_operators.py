@@ -358,3 +358,66 @@ def test_nearest_with_copies_and_odd_vectors(spark):
         got[r.query_id].append(r.vec_id)
     assert dict(got) == exact_nearest([(i, np.array(v)) for i, v, _ in rows])
     assert ann.nearest(df.limit(0)).count() == 0
+
+
+def test_other_tokenizer_files_are_refused(edge):
+    for path in (public_tokenizers.path("word_bpe_49k.json"),):
+        with pytest.raises(ValueError, match="pre_tokenizer"):
+            tokencount.count_tokens(edge, path)
+    with pytest.raises(ValueError, match="pre_tokenizer"):
+        tokenpack.round_trip(edge, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_line_runs_leave_no_table(edge):
+    spark = edge.sparkSession
+    before = {t.name for t in spark.catalog.listTables()}
+    assert linededup.dedup_lines(edge).count() == edge.count()
+    assert {t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")} <= before
+
+
+def plain_ppm(trained, langs, text):
+    """Code lengths (nats) of a text by PPM with escape method C and exclusion, byte by byte from counts in dictionaries."""
+    seen = sorted({b for _, t in trained for b in t})
+    code = {b: i + 1 for i, b in enumerate(seen)}
+    width = len(seen) + 1
+    counts = {lang: [defaultdict(Counter) for _ in range(4)] for lang in langs}
+    for lang, t in trained:
+        c = [0, 0, 0, *(code[b] for b in t)]
+        for i in range(3, len(c)):
+            for order in range(4):
+                counts[lang][order][tuple(c[i - order : i])][c[i]] += 1
+
+    def shares(lang, context):
+        out = {s: 1 / width for s in range(width)}
+        for order in range(4):
+            tail = context[3 - order :]
+            after = counts[lang][order].get(tail)
+            if not after:
+                continue
+            room = sum(p for s, p in out.items() if s not in after)
+            whole = sum(after.values()) + (len(after) if room else 0)
+            out = {s: after[s] / whole if s in after else len(after) / whole * p / room for s, p in out.items()}
+        return out
+
+    c = [0, 0, 0, *(code.get(b, 0) for b in text)]
+    return [-sum(np.log(shares(lang, tuple(c[i - 3 : i]))[c[i]]) for i in range(3, len(c))) for lang in langs]
+
+
+def test_code_lengths_are_those_of_a_plain_coder():
+    trained = [("a", b"the cat sat on the mat, the cat sat"), ("a", b"that hat"), ("b", b"der Hund und der Hase und der Hahn"), ("b", "größer".encode()), ("c", b"x")]
+    rows = Counter()
+    for lang, t in trained:
+        b = b"\0\0\0" + t
+        for i in range(3, len(b)):
+            rows["abc".index(lang), int.from_bytes(b[i - 3 : i + 1], "big")] += 1
+    keys = sorted(rows)
+    model = langid.Model(["a", "b", "c"], np.array([g for _, g in keys]), np.array([k for k, _ in keys]), np.array([rows[k] for k in keys]))
+    texts = [b"the hat", b"der Hut und", "übergroß zzz".encode(), b"x", b"th", b"cat sat on the mat, the cat"]
+    for text, got in zip(texts, model.lengths(texts)):
+        assert np.allclose(got, plain_ppm(trained, "abc", text), rtol=1e-5), text
+
+
+def test_repeated_ids_teach_the_same_in_any_order(spark):
+    rows = [(i, f"text number {i} in words", "en") for i in range(30)] + [(i, f"anders {i} gesagt", "de") for i in range(30)]
+    models = [langid.train(spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(n)) for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert models[0].langs == models[1].langs and np.array_equal(models[0].cost, models[1].cost)
