@@ -11,6 +11,7 @@ from skyledger.catalog.core import AS_OF, AS_OF_SQL, Inputs, iso_sql, mean3_sql,
 from skyledger.operators import analytics as A, geo as G, reports as R
 from skyledger.operators.reports import ReportFilter
 from skyledger.plans import rollups as P
+from skyledger.session import materialise, scratch_path
 
 _BASE = "report_id, source, external_id, observed_at, state, city, lat, lon, event_category, verification_status, credibility_score, is_duplicate, lang, text"
 _B = [c.strip() for c in _BASE.split(",")]
@@ -56,6 +57,17 @@ def _(x: Inputs):
     )
 
 
+@query("i5_jump", ["full_reports"], """SELECT report_id, credibility_score FROM full_reports WHERE is_duplicate = FALSE
+ ORDER BY credibility_score DESC NULLS FIRST, report_id LIMIT 25 OFFSET 475""")
+def _(x: Inputs):
+    """Page 20 by its stored start: one page is gathered, not twenty."""
+    reports = R.filter_reports(x.full_reports)
+    starts = materialise(R.page_starts(reports, 25, "credibility_score"), "page-starts")
+    found = starts.filter("page = 20").first()
+    rows = R.seek_reports(reports, (found.value, found.id) if found else None, 25 if found else 0, "credibility_score", after=False)
+    return rows.select("report_id", "credibility_score")
+
+
 @query("i5_page_asc", ["full_reports"], """SELECT report_id, ingested_at, credibility_score FROM full_reports
  WHERE is_duplicate = FALSE AND lang = 'en' ORDER BY credibility_score ASC NULLS LAST, report_id LIMIT 100 OFFSET 0""")
 def _(x: Inputs):
@@ -283,6 +295,16 @@ def _(x: Inputs):
     return hourly.unionByName(daily)
 
 
+@query("m5_rollup_job", ["reports"], rollup_sql("hour", f"observed_at >= {AS_OF_SQL} - INTERVAL 48 HOUR"))
+def _(x: Inputs):
+    """From files to files: two runs over trailing windows that overlap, and what is stored then."""
+    path, out = scratch_path(x.spark, "m5-reports"), scratch_path(x.spark, "m5-rollups")
+    x.reports.write.parquet(path)
+    for run, as_of in enumerate((AS_OF, AS_OF + dt.timedelta(hours=6))):
+        P.rollup_job(x.spark, path, out, run, as_of, as_of, 48, "hourly")
+    return P.stored_rollup(x.spark, out, "hourly")
+
+
 @query("a2_window_read", ["reports"], f"""SELECT state, event_category, source, verification_status, is_duplicate, credibility_score, observed_at
   FROM reports WHERE observed_at >= {AS_OF_SQL} - INTERVAL 48 HOUR""")
 def _(x: Inputs):

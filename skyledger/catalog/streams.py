@@ -156,7 +156,8 @@ def _(x: Inputs):
 @query("i6_ranked")
 def _(x: Inputs):
     reports = x.spread(x.reports.filter("NOT is_duplicate"))
-    return S.search_ranked(reports, "flod evacuation Patna", 50)
+    index = S.store_index(reports, scratch_path(x.spark, "i6"))
+    return S.search_ranked(None, "flod evacuation Patna", 50, index=index)
 
 
 @query("d3_lang")

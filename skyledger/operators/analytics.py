@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from skyledger import fixed_values as V
 from skyledger.functions.numbers import mean3, share1
 from skyledger.operators.reports import ReportFilter, _as_type, filter_reports
+from skyledger.session import materialise
 
 GROUP_DEFAULTS = {
     "category": ("event_category", "other"), "state": ("state", "Unknown"), "source": ("source", None),
@@ -33,8 +34,8 @@ def _shown(mean: Column) -> Column:
 def summary(df: DataFrame, sources: DataFrame, as_of: dt.datetime) -> DataFrame:
     """One row of headline numbers from a single aggregate over the reports.
 
-    The per-(category, status) partial counts are the only thing shuffled; the
-    totals come from them.  The distinct states are one more small aggregate.
+    Counts per category, status and state are the only thing shuffled; they are
+    written, and the totals and the distinct states are aggregates over them.
     """
     live = df.filter(~F.col("is_duplicate"))
     score = F.round(F.col("credibility_score") * 1000).cast("bigint")
@@ -45,6 +46,8 @@ def summary(df: DataFrame, sources: DataFrame, as_of: dt.datetime) -> DataFrame:
         F.count_if(_since(df, as_of, hours=24)).alias("n24"),
         F.count_if(_since(df, as_of, hours=1)).alias("n1"),
     )
+    cells = materialise(cells, "summary")
+    states = cells.filter("state IS NOT NULL").groupBy("state").agg(F.lit(1).alias("one")).agg(F.count("one").alias("n"))
     by_category = cells.groupBy("category").agg(
         F.sum("n").alias("n"), F.sum("score").alias("score"), F.sum("scored").alias("scored"),
         F.sum("n24").alias("n24"), F.sum("n1").alias("n1"),
@@ -52,7 +55,6 @@ def summary(df: DataFrame, sources: DataFrame, as_of: dt.datetime) -> DataFrame:
             F.sum(F.when(F.col("verification_status") == s, F.col("n")).otherwise(0)).alias(s)
             for s in V.VERIFICATION_STATUSES
         ],
-        F.collect_set("state").alias("states"),
     )
     total, scored = F.sum("n"), F.sum("scored")
     entry = F.struct((-F.col("n")).alias("neg"), F.col("category").alias("category"))
@@ -66,13 +68,12 @@ def summary(df: DataFrame, sources: DataFrame, as_of: dt.datetime) -> DataFrame:
         ).alias("avg_credibility"),
         F.coalesce(F.sum("n24"), F.lit(0)).alias("reports_last_24h"),
         F.coalesce(F.sum("n1"), F.lit(0)).alias("reports_last_hour"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("states")))).cast("bigint").alias("states_covered"),
         F.array_join(
             F.transform(ordered, lambda e: F.concat_ws(":", e["category"], (-e["neg"]).cast("string"))), ","
         ).alias("categories"),
     )
     enabled = sources.filter("enabled").agg(F.count(F.lit(1)).alias("sources_enabled"))
-    return headline.withColumn("sources_enabled", enabled.scalar())
+    return headline.withColumns({"states_covered": states.scalar(), "sources_enabled": enabled.scalar()})
 
 
 def timeseries(df: DataFrame, bucket: str = "hour", key: str = "category", f: ReportFilter = ReportFilter()) -> DataFrame:
@@ -178,11 +179,6 @@ def filter_options(df: DataFrame) -> DataFrame:
     return bounded.drop("place").unionByName(distinct.filter(F.col("kind").isin("source", "lang")))
 
 
-def fixed_options(df: DataFrame) -> dict[str, list[str]]:
-    """The two choice lists that do not depend on the data."""
-    return {"categories": V.CATEGORIES, "verification_statuses": V.VERIFICATION_STATUSES}
-
-
 def series_total(series: DataFrame, last: int = 200) -> DataFrame:
     """Sum a time series over its keys; only the last buckets are shown."""
     return series.groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("bucket")).limit(last)

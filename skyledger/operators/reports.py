@@ -6,9 +6,11 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from skyledger import fixed_values as V
 from skyledger.functions.times import bound, iso_utc, ts_literal
+from skyledger.session import materialise
 
 SORT_COLUMNS = ("observed_at", "ingested_at", "credibility_score")
 
@@ -97,9 +99,7 @@ def page_reports(
     """
     if page < 1 or not 1 <= size <= max_size:
         raise ValueError(f"page >= 1 and 1 <= size <= {max_size} expected")
-    if sort not in SORT_COLUMNS or order not in ("asc", "desc"):
-        raise ValueError(f"sort by one of {SORT_COLUMNS}, asc or desc")
-    key = F.col(sort).asc_nulls_last() if order == "asc" else F.col(sort).desc_nulls_first()
+    key = _sorting(sort, order)
     rows = df.orderBy(key, F.col(id_column)).offset((page - 1) * size).limit(size)
     meta = df.agg(F.count(F.lit(1)).alias("total")).select(
         F.lit(page).cast("bigint").alias("page"),
@@ -110,6 +110,51 @@ def page_reports(
     return rows, meta
 
 
+def _sorting(sort: str, order: str) -> Column:
+    if sort not in SORT_COLUMNS or order not in ("asc", "desc"):
+        raise ValueError(f"sort by one of {SORT_COLUMNS}, asc or desc")
+    return F.col(sort).asc_nulls_last() if order == "asc" else F.col(sort).desc_nulls_first()
+
+
+def seek_reports(
+    df: DataFrame, start: tuple | None = None, size: int = 25, sort: str = "observed_at", order: str = "desc", id_column: str = "report_id", after: bool = True,
+) -> DataFrame:
+    """The page behind the row ``start`` (its sort value, its id) in the order of :func:`page_reports`, or from it on if not ``after``.
+
+    Only rows from there on compete for the page, so any page is gathered as ``size`` rows, and a sort column that the files are ordered
+    by lets the scan skip what lies before.
+    """
+    key = _sorting(sort, order)
+    if start is not None:
+        value, own = start
+        later = F.col(id_column) > F.lit(own) if after else F.col(id_column) >= F.lit(own)
+        at = F.lit(value).cast(df.schema[sort].dataType)
+        if value is None:
+            rest = (F.col(sort).isNull() & later) | (F.col(sort).isNotNull() if order == "desc" else F.lit(False))
+        elif order == "desc":
+            rest = (F.col(sort) < at) | ((F.col(sort) == at) & later)
+        else:
+            rest = (F.col(sort) > at) | F.col(sort).isNull() | ((F.col(sort) == at) & later)
+        df = df.filter(rest)
+    return df.orderBy(key, F.col(id_column)).limit(size)
+
+
+def page_starts(df: DataFrame, size: int = 25, sort: str = "observed_at", order: str = "desc", id_column: str = "report_id") -> DataFrame:
+    """page, value, id: the first row of every page, to be stored and jumped to with :func:`seek_reports`.
+
+    Rows are numbered by ranges of the sort key: counts of the ranges tell where each begins.
+    """
+    _sorting(sort, order)
+    ranged = df.select(F.col(sort).alias("value"), F.col(id_column).alias("id"))
+    by = [F.col("value").asc_nulls_last() if order == "asc" else F.col("value").desc_nulls_first(), F.col("id")]
+    ranged = materialise(ranged.repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    begins = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("begin"))  # a row per range
+    number = F.row_number().over(Window.partitionBy("part").orderBy(*by)) + F.col("begin") - 1
+    numbered = ranged.join(begins, "part").withColumn("number", number)
+    return numbered.filter(F.col("number") % size == 0).select((F.expr(f"number div {size}") + 1).alias("page"), "value", "id")
+
+
 def review_queue(
     df: DataFrame, f: ReportFilter | None = None, page: int = 1, size: int = 25, id_column: str = "report_id"
 ) -> tuple[DataFrame, DataFrame]:

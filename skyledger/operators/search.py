@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyledger.functions.plan import once
+from skyledger.session import materialise
 
 K1, B = 1.2, 0.75
 TEXT_BOOST = 2.0
@@ -32,8 +35,8 @@ def inverted_index(df: DataFrame, id_column: str = "report_id") -> DataFrame:
     """Postings (field, term, id, tf, length) of the text and keyword fields.
 
     ``text`` is split into words; a keyword field is one term per value.  The
-    words of one report are counted before the shuffle.  Write it partitioned by
-    field and sorted by term to reuse it over many queries.
+    words of one report are counted before the shuffle.  :func:`store_index`
+    writes it for many queries.
     """
     text = once(df.select(id_column, "text"), words=tokens(F.col("text")))
     terms = text.select(id_column, F.size("words").alias("length"), F.explode("words").alias("term"))
@@ -53,9 +56,53 @@ def _named(field: str):
     return lambda v: F.struct(F.lit(field).alias("field"), v.alias("term"))
 
 
+@dataclass(frozen=True, eq=False)
+class Index:
+    """postings (field, term, id, tf, length), terms (field, term, df) and fields (field, docs, mean_length).
+
+    A stored index has its postings in folders by a hash of field and term, sorted inside, and its terms in folders by field and length:
+    a query opens the lengths that its terms can be misspelled to, and the folders of the terms found there.
+    """
+
+    postings: DataFrame
+    terms: DataFrame
+    fields: DataFrame
+    stored: bool = False
+
+
+def _statistics(postings: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
+    terms = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    docs = postings.groupBy("field", id_column).agg(F.max("length").alias("length"))
+    return terms, docs.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length"))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("field", "term"), F.lit(buckets)).cast("int")
+
+
+def store_index(df: DataFrame, path: str, id_column: str = "report_id", buckets: int = 64) -> Index:
+    """Write the index of ``df`` under ``path`` and open it; the postings of a very common term are spread over tasks by id."""
+    postings = inverted_index(df, id_column).withColumn("bucket", _bucket(buckets))
+    ranged = postings.repartitionByRange("bucket", "field", "term", id_column).sortWithinPartitions("bucket", "field", "term", id_column)
+    ranged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    terms, fields = _statistics(df.sparkSession.read.parquet(f"{path}/postings"), id_column)
+    terms = terms.select("*", _bucket(buckets).alias("bucket"), F.length("term").alias("size"))
+    terms.write.mode("overwrite").partitionBy("field", "size").parquet(f"{path}/terms")
+    fields.write.mode("overwrite").parquet(f"{path}/fields")
+    return open_index(df.sparkSession, path, df.schema[id_column].dataType.simpleString(), id_column)
+
+
+def open_index(spark: SparkSession, path: str, id_type: str = "bigint", id_column: str = "report_id") -> Index:
+    schemas = {
+        "postings": f"field string, term string, {id_column} {id_type}, tf bigint, length bigint, bucket int", "terms": "term string, df bigint, bucket int, field string, size int",
+        "fields": "field string, docs bigint, mean_length double",
+    }
+    return Index(*[spark.read.schema(s).parquet(f"{path}/{n}") for n, s in schemas.items()], stored=True)
+
+
 def search_ranked(
-    df: DataFrame, q: str, k: int = 25, allowed: DataFrame | None = None, id_column: str = "report_id",
-    index: DataFrame | None = None,
+    df: DataFrame | None, q: str, k: int = 25, allowed: DataFrame | None = None, id_column: str = "report_id",
+    index: Index | None = None,
 ) -> DataFrame:
     """Top ``k`` reports for a query, best field first.
 
@@ -63,12 +110,17 @@ def search_ranked(
     is matched word by word, keyword fields as a whole, both with a few edits
     allowed; the more edits, the less a match counts.  Only rows in ``allowed``
     are ranked.  Spelling distance is computed on distinct terms, not on reports.
+    With an ``index`` its statistics count, whatever is ``allowed``, and ``df`` is not read.
     """
     if not 1 <= len(q) <= MAX_QUERY_CHARS:
         raise ValueError(f"query of 1..{MAX_QUERY_CHARS} characters expected")
-    postings = inverted_index(df, id_column) if index is None else index
-    if allowed is not None:
-        postings = postings.join(allowed.select(id_column), id_column, "left_semi")
+    if index is None:
+        postings = inverted_index(df, id_column)
+        if allowed is not None:
+            postings = postings.join(allowed.select(id_column), id_column, "left_semi")
+        index = Index(postings, *_statistics(postings, id_column))
+    elif allowed is not None and not index.stored:
+        index = replace(index, postings=index.postings.join(allowed.select(id_column), id_column, "left_semi"))
     asked = query_terms(q)
     probes = [("text", t, max_edits(t)) for t in asked] + [(f, q, max_edits(q)) for f in KEYWORD_FIELDS]
     matches = []
@@ -77,13 +129,20 @@ def search_ranked(
         closeness = F.lit(1.0) - distance / F.greatest(F.lit(1.0), F.least(F.length("term"), F.lit(len(term))).cast("double"))
         row = F.struct(F.lit(i).alias("probe"), closeness.alias("closeness"))
         matches.append(F.when((F.col("field") == field) & (distance >= 0), row))
-    vocabulary = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    hit_terms = vocabulary.select("field", "term", "df", F.explode(F.array_compact(F.array(*matches))).alias("m")).select("field", "term", "df", "m.*")
-    hit_terms = hit_terms.filter("closeness > 0")
-    sizes = postings.select("field", id_column, "length").distinct().groupBy("field").agg(
-        F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length")
-    )
-    scored = postings.join(hit_terms, ["field", "term"]).join(sizes, "field")
+    vocabulary, postings = index.terms, index.postings
+    if index.stored:
+        within = [(F.col("field") == f) & F.col("size").between(len(t) - e, len(t) + e) for f, t, e in probes]
+        vocabulary = vocabulary.filter(functools.reduce(lambda a, b: a | b, within))
+    near = F.explode(F.array_compact(F.array(*matches))).alias("m")
+    hit_terms = vocabulary.select("field", "term", "df", *(["bucket"] if index.stored else []), near).select("*", "m.*").drop("m").filter("closeness > 0")
+    if index.stored:
+        hit_terms = materialise(hit_terms, "terms-found")
+        buckets = [r[0] for r in hit_terms.select("bucket").distinct().collect()]  # no more than there are folders
+        postings = postings.filter(F.col("bucket").isin(buckets)).drop("bucket")
+        hit_terms = hit_terms.drop("bucket")
+        if allowed is not None:
+            postings = postings.join(allowed.select(id_column), id_column, "left_semi")
+    scored = postings.join(hit_terms, ["field", "term"]).join(index.fields, "field")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     boost = F.when(F.col("field") == "text", F.lit(TEXT_BOOST)).otherwise(F.lit(1.0))

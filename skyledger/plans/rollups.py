@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyledger.functions.times import ts_literal
+from skyledger.streaming.daylog import DayLog
 
 DIMS = ["bucket_start", "state", "event_category", "source"]
 MEASURES = ["report_count", "verified_count", "duplicate_count", "avg_credibility"]
@@ -83,3 +84,36 @@ def run_rollups(df: DataFrame, as_of: dt.datetime, hours: int = 48, mode: str =
     if mode in ("daily", "all"):
         out["daily"] = finish(coarsen(sums(trailing_window(df, as_of, hours, "day"), "hour"), "day"))
     return out
+
+
+_STORED = "bucket_start {}, state string, event_category string, source string, report_count bigint, verified_count bigint, duplicate_count bigint, avg_credibility double, computed_at timestamp"
+
+
+def _last_computed(rows: DataFrame) -> DataFrame:
+    rest = [c for c in rows.columns if c not in DIMS]
+    best = F.max_by(F.struct(*rest), "computed_at").alias("r")
+    return rows.groupBy(*DIMS).agg(best).select(*DIMS, "r.*").select(*rows.columns)
+
+
+def _log(spark: SparkSession, path: str, name: str, kind: str) -> DayLog:
+    return DayLog(spark, f"{path}/{name}", _STORED.format(kind), _last_computed)
+
+
+def rollup_job(
+    spark: SparkSession, reports_path: str, path: str, run: int, as_of: dt.datetime, computed_at: dt.datetime, hours: int = 48, mode: str = "all",
+) -> None:
+    """One run from files to files: read the trailing window of the report table, aggregate, store under ``path``.
+
+    The window is read with pushed filters and the seven columns it needs.  A run adds its groups as parts by day and rewrites nothing;
+    repeating run number ``run`` replaces them, and on read the last computation of a group wins.
+    """
+    reports = read_window(spark, reports_path, as_of - dt.timedelta(days=1), hours)
+    for name, df in run_rollups(reports, as_of, hours, mode).items():
+        kind = df.schema["bucket_start"].dataType.simpleString()
+        stamp = F.lit(computed_at if computed_at.tzinfo else computed_at.replace(tzinfo=dt.timezone.utc))
+        _log(spark, path, name, kind).append(df.withColumn("computed_at", stamp), run, F.col("bucket_start"))
+
+
+def stored_rollup(spark: SparkSession, path: str, name: str, kind: str = "timestamp_ntz", since: dt.date | None = None) -> DataFrame:
+    """The stored rollup ``name`` (hourly or daily); days before ``since`` are not opened."""
+    return _last_computed(_log(spark, path, name, kind).read(since=since)).select(*DIMS, *MEASURES)
