@@ -1,4 +1,10 @@
-"""The corpus pipeline: every stage reads all that the one before it kept, as written Parquet."""
+"""The corpus pipeline: every stage reads all that the one before it kept, as written Parquet.
+
+All stages but the last return the columns of ``documents``, whatever they are called.  An empty table stays empty.  Odd rows, stage by stage:
+language drops null, blank and letterless texts; near_duplicates treats what is left by its words (rows without words are one group) and
+never groups by doc_id, so repeated or null doc_ids are rows like any other; decontaminate keeps texts without words; mix leaves out texts of
+no words (they have no size) and treats a null source as a source of its own; shard places every row.
+"""
 
 from __future__ import annotations
 

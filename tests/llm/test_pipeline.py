@@ -46,3 +46,27 @@ def test_stages(spark, sf_dir):
 def test_run_is_registered(spark, sf_dir):
     assert E.queries()["pipeline"] is pipeline.run
     assert pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_junk_leaves_the_language_stage(spark, sf_dir):
+    """Texts of no learned language go, clean ones stay; empty tables and clashing columns pass."""
+    import base64
+    import random
+
+    from skyledger.llm import langid
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs)
+    rnd = random.Random(0)
+    junk = [
+        "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(300)), " ".join("".join(chr(rnd.randrange(0x430, 0x450)) for _ in range(7)) for _ in range(60)),
+        base64.b64encode(rnd.randbytes(600)).decode(), "".join(chr(rnd.randrange(0xAC00, 0xD7A3)) for _ in range(200)), "1234 5678 --- !!!", "", None,
+    ]
+    rows = spark.createDataFrame([(i, t, "z", "y") for i, t in enumerate(junk)], "doc_id long, text string, bits string, lang_pred string")
+    left = [r.doc_id for r in langid.keep(rows, model).collect()]
+    assert left == []
+    clean = docs.filter("text RLIKE '[A-Za-z]{3}'")
+    assert langid.keep(clean, model).count() == clean.count()
+    none = langid.keep(rows.limit(0), model)
+    assert none.columns == rows.columns and none.count() == 0
+    assert langid.keep(docs.limit(0)).count() == 0
