@@ -160,7 +160,21 @@ def _(x: Inputs):
     return S.search_ranked(None, "flod evacuation Patna", 50, index=index)
 
 
-@query("d3_lang")
+_BY_SCRIPT = " ".join(f"WHEN 2 * length(regexp_replace(text, '[^{block}]', '', 'g')) > length(regexp_replace(text, '[^\\p{{L}}\\p{{M}}]', '', 'g')) THEN '{lang}'" for lang, block in reversed(LG.SCRIPTS))
+
+
+@query("d3_lang", None, f"""SELECT d.doc_id, d.lang, CASE {_BY_SCRIPT} WHEN regexp_matches(text, '\\p{{L}}') THEN b.lang END AS detected
+  FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id""", extra={
+    "kept": "SELECT * FROM (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}]+')) AS word FROM documents) s WHERE word <> ''",
+    "cut": "SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda i: substring(concat(' ', word, ' '), i, 3))) AS gram FROM (SELECT DISTINCT word FROM kept) v",
+    "taught": "SELECT lang, word, count(*) AS n FROM kept WHERE lang IS NOT NULL GROUP BY lang, word",
+    "counts": "SELECT lang, gram, sum(n) AS n FROM taught JOIN cut USING (word) GROUP BY lang, gram",
+    "rooms": "SELECT lang, CAST(sum(n) + count(*) + 1 AS DOUBLE) AS room FROM counts GROUP BY lang",
+    "unseen": "SELECT lang, room, CAST(round(ln(1e0 / room) * 1e6) AS BIGINT) AS none FROM rooms",
+    "gains": "SELECT lang, gram, CAST(round((ln((n + 1) / room) - ln(1e0 / room)) * 1e6) AS BIGINT) AS gain FROM counts JOIN unseen USING (lang)",
+    "by_word": "SELECT word, u.lang, sum(u.none + coalesce(g.gain, 0)) AS score FROM cut c CROSS JOIN unseen u LEFT JOIN gains g ON g.gram = c.gram AND g.lang = u.lang GROUP BY word, u.lang",
+    "best": "SELECT doc_id, max(struct_pack(score, lang)).lang AS lang FROM (SELECT doc_id, w.lang, sum(score) AS score FROM kept k JOIN by_word w USING (word) GROUP BY doc_id, w.lang) s GROUP BY doc_id",
+})
 def _(x: Inputs):
     docs = x.spread(x.table("documents"))
     profiles = LG.train_profiles(docs)
