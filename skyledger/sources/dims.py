@@ -30,9 +30,16 @@ def _normal_aliases(raw: DataFrame) -> DataFrame:
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one file with their numbers (``wholetext`` keeps the order)."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "line"))
+    """Lines of one file with numbers that grow along it, 0 for the first; the splits of a large file are read by many tasks.
+
+    A number is twice the byte at which the line's split starts plus its place among the lines of the split, of which there are
+    no more than bytes and one.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
+    )
+    first = lines.groupBy("start").agg(F.min("at").alias("first"))
+    return lines.join(first, "start").select((2 * F.col("start") + F.col("at") - F.col("first")).alias("ord"), "line")
 
 
 def load_gazetteer(spark: SparkSession, path: str) -> DataFrame:

@@ -126,6 +126,19 @@ def test_loaders(spark, tmp_path):
     assert [(r.alias, r.kind, r.target) for r in dims.load_aliases(spark, str(tmp_path / "alias.csv")).collect()] == [("bombay", "city", "Mumbai")]
 
 
+def test_a_large_file_is_read_in_splits(spark, tmp_path):
+    lines = ["" if i % 7 == 0 else "x" * (i % 50) + str(i) for i in range(3_000)]
+    (tmp_path / "lines.txt").write_text("\n".join(lines) + "\n" * 2_000, encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert spark.read.text(str(tmp_path / "lines.txt")).rdd.getNumPartitions() > 20
+        got = sorted((r.ord, r.line) for r in dims._numbered_lines(spark, str(tmp_path / "lines.txt")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [line for _ord, line in got][:3_000] == lines and len({n for n, _line in got}) == len(got) == 4_999 and got[0][0] == 0
+
+
 def test_mail_dates(spark):
     rows = ["Mon, 01 Jan 2024 10:00:00 +0530", "1 Feb 2024 00:00:00 GMT", "soon", None]
     got = [r.d for r in spark.createDataFrame([(r,) for r in rows], "t string").select(feeds.mail_date(F.col("t")).cast("timestamp_ntz").cast("string").alias("d")).collect()]
