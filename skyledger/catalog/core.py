@@ -9,6 +9,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyledger import fixtures
+from skyledger.operators.geocode import Gazetteer
+from skyledger.session import materialise
+from skyledger.sources.dims import normal_aliases
 
 AS_OF = dt.datetime.fromisoformat(fixtures.AS_OF)
 AS_OF_SQL = f"TIMESTAMP '{fixtures.AS_OF}'"
@@ -16,6 +19,8 @@ AS_OF_SQL = f"TIMESTAMP '{fixtures.AS_OF}'"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+_gazetteers: dict[tuple[str, str], Gazetteer] = {}
+
 
 class Inputs:
     """The given tables and the weather tables derived from them."""
@@ -68,6 +73,15 @@ class Inputs:
         )
         return df.withColumn("media", F.when(F.col("media_n") > 0, ref).otherwise(F.slice(ref, 1, 0))).drop("hashtags_csv", "media_n")
 
+    @property
+    def gazetteer(self) -> Gazetteer:
+        """The places of the given tables; its lookup tables are written once per session and folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _gazetteers:
+            cities, aliases = self.derived("cities"), normal_aliases(self.derived("alias_rows"))
+            _gazetteers[key] = Gazetteer(materialise(cities, "cities"), materialise(aliases, "aliases"))
+        return _gazetteers[key]
+
     @cached_property
     def observations(self) -> DataFrame:
         return self.derived("observations")

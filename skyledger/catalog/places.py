@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from skyledger import fixed_values as V
 from skyledger.catalog.core import AS_OF, Inputs, query
+from skyledger.fixtures import invented, misspelled
 from skyledger.functions import text as X
 from skyledger.operators import geocode as G
-from skyledger.operators.geocode import Gazetteer
 from skyledger.sources import feeds
 
 
@@ -28,14 +28,13 @@ def _norm(column: str) -> str:
     return _NORM.format(column)
 
 
+PLACES = ["cities", "alias_rows"]
 DIMS = {
-    "cities": _values(V.SEED_CITIES, "city, state, district, lat, lon"),
-    "alias_rows": _values(V.SEED_ALIASES, "alias, kind, target"),
     "aliases": f"SELECT min(ord) AS ord, kind, {_norm('alias')} AS key, arg_min(target, ord) AS target FROM alias_rows GROUP BY kind, 3",
     "lookup": f"""SELECT key, min(pos) AS pos, coalesce(arg_max(city, pos) FILTER (WHERE tier = 0), arg_min(city, pos) FILTER (WHERE tier = 1)) AS city FROM (
       SELECT {_norm('city')} AS key, 2 * ord AS pos, city, 0 AS tier FROM cities
       UNION ALL SELECT {_norm('district')}, 2 * ord + 1, city, 0 FROM cities
-      UNION ALL SELECT a.key, 1000000 + a.ord, c.city, 1 FROM aliases a JOIN cities c ON a.kind = 'city' AND a.target = c.city) u GROUP BY key""",
+      UNION ALL SELECT a.key, 1099511627776 + a.ord, c.city, 1 FROM aliases a JOIN cities c ON a.kind = 'city' AND a.target = c.city) u GROUP BY key""",
 }
 
 
@@ -58,63 +57,67 @@ def nearest(source: str, key: str, lat: str, lon: str) -> str:
 _POINTS = "SELECT report_id, lat + (report_id % 3) * 0.4e0 AS lat, lon - (report_id % 4) * 0.3e0 AS lon FROM reports"
 
 
-@query("d5_nearest_city", ["reports"], "SELECT p.report_id, n.city FROM points p LEFT JOIN near n ON p.report_id = n.report_id",
+@query("d5_nearest_city", ["reports", *PLACES], "SELECT p.report_id, n.city FROM points p LEFT JOIN near n ON p.report_id = n.report_id",
        extra={**DIMS, "points": _POINTS, "near": nearest("points", "report_id", "s.lat", "s.lon")})
 def _(x: Inputs):
-    df = G.nearest_city(x.sql(["reports"], _POINTS), Gazetteer.seed(x.spark), F.col("lat"), F.col("lon"))
+    df = G.nearest_city(x.sql(["reports"], _POINTS), x.gazetteer, F.col("lat"), F.col("lon"))
     return df.select("report_id", F.col("near.city").alias("city"))
 
 
-_HINTS = """SELECT report_id, CASE report_id % 9 WHEN 0 THEN city WHEN 1 THEN lower(city) WHEN 2 THEN 'Bangalore' WHEN 3 THEN 'Mum'
+_MISSPELLED = f"CASE n.name WHEN 'Hyderabaad' THEN 'Hyderabad' ELSE (SELECT min(c.city) FROM cities c WHERE {misspelled('c.city')} = n.name) END"
+_HINTS = f"""SELECT report_id, CASE report_id % 12 WHEN 0 THEN city WHEN 1 THEN lower(city) WHEN 2 THEN 'Bangalore' WHEN 3 THEN 'Mum'
   WHEN 4 THEN concat(coalesce(city, ''), ' North') WHEN 5 THEN 'Hyderabaad' WHEN 6 THEN concat('Atlantis ', CAST(report_id % 50 AS VARCHAR(9)))
-  WHEN 7 THEN 'दरभंगा' ELSE NULL END AS hint FROM reports"""
+  WHEN 7 THEN 'पटना' WHEN 8 THEN {invented('report_id % 140')} WHEN 9 THEN {misspelled(invented('report_id % 140'))}
+  WHEN 10 THEN concat({invented('report_id % 140')}, ' rural') ELSE NULL END AS hint FROM reports"""
 
 
-@query("d6_city_by_name", ["reports"], "SELECT h.report_id, h.hint, r.city FROM hints h LEFT JOIN found r ON h.hint = r.name",
-       extra={**DIMS, "hints": _HINTS, "found": resolved("hints", "hint", "CASE n.name WHEN 'Hyderabaad' THEN 'Hyderabad' END")})
+@query("d6_city_by_name", ["reports", *PLACES], "SELECT h.report_id, h.hint, r.city FROM hints h LEFT JOIN found r ON h.hint = r.name",
+       extra={**DIMS, "hints": _HINTS, "found": resolved("hints", "hint", _MISSPELLED)})
 def _(x: Inputs):
-    df = G.find_city(x.sql(["reports"], _HINTS), Gazetteer.seed(x.spark), "hint")
+    df = G.find_city(x.sql(["reports"], _HINTS), x.gazetteer, "hint")
     return df.select("report_id", "hint", F.col("by_name.city").alias("city"))
 
 
 _STATES = """SELECT report_id, CASE report_id % 6 WHEN 0 THEN state WHEN 1 THEN upper(state) WHEN 2 THEN 'Orissa' WHEN 3 THEN 'बिहार'
-  WHEN 4 THEN 'Nowhere' ELSE 'jammu and kashmir' END AS name FROM reports"""
+  WHEN 4 THEN 'Nowhere' ELSE concat('nation ', CAST(report_id % 30 AS VARCHAR(9))) END AS name FROM reports"""
 
 
-@query("d7_state_by_name", ["reports"], f"""SELECT n.report_id, n.name, coalesce(
+@query("d7_state_by_name", ["reports", *PLACES], f"""SELECT n.report_id, n.name, coalesce(
    (SELECT any_value(a.target) FROM aliases a WHERE a.kind = 'state' AND a.key = {_norm('n.name')}),
    (SELECT any_value(c.state) FROM cities c WHERE {_norm('c.state')} = {_norm('n.name')})) AS state_found FROM names n""",
        extra={**DIMS, "names": _STATES})
 def _(x: Inputs):
-    return G.find_state(x.sql(["reports"], _STATES), Gazetteer.seed(x.spark), "name")
+    return G.find_state(x.sql(["reports"], _STATES), x.gazetteer, "name")
 
 
-_TEXTS = """SELECT report_id, lat, lon, state, CASE report_id % 11 WHEN 0 THEN concat('storm in BANGA-LORE ', CAST(report_id AS VARCHAR(20)))
+_TEXTS = f"""SELECT report_id, lat, lon, state, CASE report_id % 11 WHEN 0 THEN concat('storm in BANGA-LORE ', CAST(report_id AS VARCHAR(20)))
   WHEN 1 THEN 'बिहार में बाढ़' WHEN 2 THEN 'rain over Tamil Nadu coast' WHEN 3 THEN concat('calm day ', CAST(report_id % 30 AS VARCHAR(9)))
-  WHEN 4 THEN 'Pune to mumbai road closed' WHEN 5 THEN 'हैदराबाद में बारिश' ELSE text END AS text FROM reports"""
-_IN_TEXT = """SELECT text, arg_min(city, struct_pack(a := -length(city), b := ord)) AS city FROM (SELECT DISTINCT text FROM texts) t JOIN cities c
-  ON length(c.city) >= 4 AND contains(lower(t.text), lower(c.city)) GROUP BY text"""
+  WHEN 4 THEN 'Pune to mumbai road closed' WHEN 5 THEN 'हैदराबाद में बारिश'
+  WHEN 6 THEN concat('hail near ', {invented('report_id % 140')}) WHEN 7 THEN concat('snow over NATION_', CAST(report_id % 30 AS VARCHAR(9)))
+  WHEN 8 THEN concat('fog, old-', lower({invented('report_id % 140')}), ' and ', {invented('report_id % 130')}) ELSE text END AS text FROM reports"""
+_IN_TEXT = """SELECT text, arg_min(city, struct_pack(a := -length(city), b := ord)) AS city FROM (SELECT DISTINCT text, lower(text) AS low FROM texts) t
+  JOIN (SELECT *, lower(city) AS name FROM cities WHERE length(city) >= 4) c ON contains(t.low, c.name) GROUP BY text"""
 _ALIASED = f"""SELECT text, arg_min(place, struct_pack(a := tier, b := ord)) AS place, arg_min(state, struct_pack(a := tier, b := ord)) AS state,
-   min(tier) AS tier FROM (SELECT DISTINCT text FROM texts) t JOIN (
+   min(tier) AS tier FROM (SELECT DISTINCT text, {_norm('text')} AS squeezed FROM texts) t JOIN (
    SELECT 0 AS tier, a.ord, a.key, c.city AS place, c.state FROM aliases a JOIN cities c ON a.kind = 'city' AND a.target = c.city
      WHERE length(a.key) >= CASE WHEN regexp_full_match(a.key, '[a-z0-9]+') THEN 5 ELSE 4 END
    UNION ALL SELECT 1, a.ord, a.key, a.target, a.target FROM aliases a WHERE a.kind = 'state'
      AND length(a.key) >= CASE WHEN regexp_full_match(a.key, '[a-z0-9]+') THEN 5 ELSE 4 END
    UNION ALL SELECT 2, min(ord), regexp_replace(lower(state), '[^a-z0-9]+', '', 'g'), state, state FROM cities WHERE length(state) >= 5 GROUP BY state) n
-  ON contains({_norm('t.text')}, n.key) GROUP BY text"""
+  ON contains(t.squeezed, n.key) GROUP BY text"""
 
 
-@query("d8_city_in_text", ["reports"], "SELECT t.report_id, f.city FROM texts t LEFT JOIN found f ON t.text = f.text",
+@query("d8_city_in_text", ["reports", *PLACES], "SELECT t.report_id, f.city FROM texts t LEFT JOIN found f ON t.text = f.text",
        extra={**DIMS, "texts": _TEXTS, "found": _IN_TEXT})
 def _(x: Inputs):
-    df = G.city_in_text(x.spread(x.sql(["reports"], _TEXTS)), Gazetteer.seed(x.spark), F.col("text"))
+    df = G.city_in_text(x.spread(x.sql(["reports"], _TEXTS)), x.gazetteer, F.col("text"))
     return df.select("report_id", F.col("named.city").alias("city"))
 
 
-@query("d9_alias_in_text", ["reports"], "SELECT t.report_id, f.place, f.state FROM texts t LEFT JOIN found f ON t.text = f.text",
+@query("d9_alias_in_text", ["reports", *PLACES], "SELECT t.report_id, f.place, f.state FROM texts t LEFT JOIN found f ON t.text = f.text",
        extra={**DIMS, "texts": _TEXTS, "found": _ALIASED})
 def _(x: Inputs):
-    df = G.alias_in_text(x.spread(x.sql(["reports"], _TEXTS).drop("state")), Gazetteer.seed(x.spark), F.col("text"))
+    df = G.alias_in_text(x.spread(x.sql(["reports"], _TEXTS).drop("state")), x.gazetteer, F.col("text"))
     return df.select("report_id", F.col("aliased.city").alias("place"), F.col("aliased.state").alias("state"))
 
 
@@ -123,7 +126,7 @@ _POSTS = f"""SELECT t.report_id, t.text, CASE WHEN t.report_id % 4 = 1 THEN t.la
   CASE WHEN t.report_id % 10 = 3 THEN 'Hinted State' END AS state_hint FROM ({_TEXTS}) t JOIN ({_HINTS}) h ON t.report_id = h.report_id"""
 
 
-@query("d10_geocode", ["reports"], """SELECT p.report_id, coalesce(p.lat, c.lat) AS lat, coalesce(p.lon, c.lon) AS lon, c.city, c.district,
+@query("d10_geocode", ["reports", *PLACES], """SELECT p.report_id, coalesce(p.lat, c.lat) AS lat, coalesce(p.lon, c.lon) AS lon, c.city, c.district,
    coalesce(c.state, CASE WHEN m = 'text' THEN a_state END, p.state_hint) AS state, m AS geocode_method FROM (
     SELECT p.*, a.state AS a_state, CASE WHEN g.city IS NOT NULL THEN 'gps' WHEN h.city IS NOT NULL THEN 'hint'
       WHEN t.city IS NOT NULL OR a.text IS NOT NULL THEN 'text' ELSE 'none' END AS m,
@@ -133,9 +136,9 @@ _POSTS = f"""SELECT t.report_id, t.text, CASE WHEN t.report_id % 4 = 1 THEN t.la
      LEFT JOIN in_text t ON p.text = t.text LEFT JOIN aliased a ON p.text = a.text) p
   LEFT JOIN cities c ON p.chosen = c.city""",
        extra={**DIMS, "texts": _TEXTS, "posts": _POSTS, "near": nearest("posts", "report_id", "s.lat", "s.lon"),
-              "found": resolved("posts", "city_hint", "CASE n.name WHEN 'Hyderabaad' THEN 'Hyderabad' END"), "in_text": _IN_TEXT, "aliased": _ALIASED})
+              "found": resolved("posts", "city_hint", _MISSPELLED), "in_text": _IN_TEXT, "aliased": _ALIASED})
 def _(x: Inputs):
-    df = G.geocode(x.spread(x.sql(["reports"], _POSTS)), Gazetteer.seed(x.spark))
+    df = G.geocode(x.spread(x.sql(["reports"], _POSTS)), x.gazetteer)
     return df.select("report_id", "lat", "lon", "city", "district", "state", "geocode_method")
 
 
@@ -197,15 +200,15 @@ def _(x: Inputs):
 
 # -- feeds ------------------------------------------------------------------
 _HOUR = AS_OF.strftime("%Y%m%d%H")
-_SAMPLE_SQL = f"""SELECT row_number() OVER (ORDER BY coalesce(p.ord, 1000000), c.ord) - 1 AS pos, c.city, c.state, c.lat, c.lon FROM cities c
+_SAMPLE_SQL = f"""SELECT row_number() OVER (ORDER BY coalesce(p.ord, 1000000000), c.ord) - 1 AS pos, c.city, c.state, c.lat, c.lon FROM cities c
   LEFT JOIN ({_values([(p,) for p in V.PRIORITY_CITIES], 'city')}) p ON c.city = p.city ORDER BY pos LIMIT 40"""
 
 
-@query("b5_priority_cities", None, f"""SELECT s.pos, s.city, s.state, count(e.event_id) AS hits FROM sample s LEFT JOIN events e ON e.user_id % 30 = s.pos
+@query("b5_priority_cities", PLACES, f"""SELECT s.pos, s.city, s.state, count(e.event_id) AS hits FROM sample s LEFT JOIN events e ON e.user_id % 45 = s.pos
    GROUP BY 1, 2, 3""", extra={**DIMS, "sample": _SAMPLE_SQL})
 def _(x: Inputs):
-    sample = G.priority_cities(Gazetteer.seed(x.spark).cities, V.PRIORITY_CITIES)
-    hits = x.table("events").groupBy((F.col("user_id") % 30).alias("pos")).agg(F.count(F.lit(1)).alias("hits"))
+    sample = G.priority_cities(x.gazetteer.cities, V.PRIORITY_CITIES)
+    hits = x.table("events").groupBy((F.col("user_id") % 45).alias("pos")).agg(F.count(F.lit(1)).alias("hits"))
     return sample.join(hits, "pos", "left").select("pos", "city", "state", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
@@ -227,7 +230,7 @@ def _placed(base: str, name: str) -> dict[str, str]:
     }
 
 
-@query("b1_district_warnings", ["reports"], f"""SELECT concat('dw-', replace(lower(g.district), ' ', '-'), '-', day, '-', coalesce(date, '2024-01-30')) AS external_id,
+@query("b1_district_warnings", ["reports", *PLACES], f"""SELECT concat('dw-', replace(lower(g.district), ' ', '-'), '-', day, '-', coalesce(date, '2024-01-30')) AS external_id,
    concat('IMD ', labels, ' for ', g.district, ' district (', replace(day, '_', ' '), ')') AS text, coalesce(c.city, g.district) AS city_hint, c.state AS state_hint,
    c.lat, c.lon, category, concat('#IMD,#IMDAlert,', tags) AS hashtags FROM (
      SELECT w.report_id, trim(w."District") AS district, w."Date" AS date, d.day, string_agg(k.wording, ', ' ORDER BY d.i) AS labels,
@@ -243,7 +246,7 @@ def _placed(base: str, name: str) -> dict[str, str]:
 def _(x: Inputs):
     df = x.sql(["reports"], _WARNINGS.replace('"', "`")).withColumn("Day_5", F.lit(None).cast("string"))
     df = df.withColumns({f"Day{i}_Color": F.lit("3") for i in range(1, 6)})
-    posts = feeds.normalise_district_warnings(df, Gazetteer.seed(x.spark), AS_OF)
+    posts = feeds.normalise_district_warnings(df, x.gazetteer, AS_OF)
     return posts.select(
         "external_id", "text", "city_hint", "state_hint", "lat", "lon", F.get_json_object("raw", "$.category_hint").alias("category"),
         F.array_join("hashtags", ",").alias("hashtags"),
@@ -260,7 +263,7 @@ def _in(codes) -> str:
     return "(" + ", ".join(map(str, codes)) + ")"
 
 
-@query("b2_station_weather", ["reports"], f"""SELECT concat('cw-', replace(lower(station), ' ', '-'), '-{_HOUR}') AS external_id, category, CASE category
+@query("b2_station_weather", ["reports", *PLACES], f"""SELECT concat('cw-', replace(lower(station), ' ', '-'), '-{_HOUR}') AS external_id, category, CASE category
    WHEN 'rainfall' THEN concat('IMD station ', station, ': ', printf('%.1f', rain), ' mm rainfall in last 24 hrs')
    WHEN 'thunderstorm' THEN concat('IMD nowcast: thunderstorm at ', station) WHEN 'heatwave' THEN concat('IMD station ', station, ': ', printf('%.1f', temp), '°C - heat wave')
    WHEN 'dust_storm' THEN concat('IMD nowcast: dust storm conditions at ', station) WHEN 'fog' THEN concat('IMD nowcast: fog at ', station)
@@ -274,7 +277,7 @@ def _in(codes) -> str:
    LEFT JOIN found f ON b.station = f.name LEFT JOIN near n ON b.report_id = n.report_id LEFT JOIN cities c ON c.city = coalesce(f.city, n.city)
    WHERE category IS NOT NULL""", extra={**DIMS, "wx": _WX, **_placed("wx", '"Station"')})
 def _(x: Inputs):
-    posts = feeds.normalise_station_weather(x.sql(["reports"], _WX.replace('"', "`")), Gazetteer.seed(x.spark), AS_OF)
+    posts = feeds.normalise_station_weather(x.sql(["reports"], _WX.replace('"', "`")), x.gazetteer, AS_OF)
     return posts.select(
         "external_id", F.get_json_object("raw", "$.category_hint").alias("category"), "text", "lat", "lon", "city_hint", "state_hint"
     )
@@ -303,7 +306,7 @@ def _fetches(x: Inputs):
     return x.table("events").select("event_id", F.array(*batch).alias("batches"))
 
 
-@query("b3_threshold_posts", None, f"""SELECT concat('om-', replace(lower(city), ' ', '-'), '-{_HOUR}') AS external_id, lat, lon, city AS city_hint, state AS state_hint, category,
+@query("b3_threshold_posts", PLACES, f"""SELECT concat('om-', replace(lower(city), ' ', '-'), '-{_HOUR}') AS external_id, lat, lon, city AS city_hint, state AS state_hint, category,
   CASE category WHEN 'rainfall' THEN concat('Heavy rain in ', city, ': ', printf('%.1f', precip), ' mm/h recorded (auto-observation, ', printf('%.0f', humidity), '% RH)')
    WHEN 'thunderstorm' THEN concat('Thunderstorm ongoing over ', city, ' (WMO code ', CAST(code AS VARCHAR), '), wind ', printf('%.0f', wind), ' km/h')
    WHEN 'heatwave' THEN concat('Heatwave conditions in ', city, ': ', printf('%.1f', temp), '°C recorded')
@@ -312,15 +315,15 @@ def _fetches(x: Inputs):
    WHEN code IN {_in(V.MODEL_FOG)} THEN 'fog' WHEN wind >= 40 AND precip < 1 THEN 'strong_winds' END AS category FROM usable) u WHERE category IS NOT NULL""",
        extra={**DIMS, "sample": _SAMPLE_SQL, "readings": _READINGS, "usable": _USABLE})
 def _(x: Inputs):
-    sample = G.priority_cities(Gazetteer.seed(x.spark).cities, V.PRIORITY_CITIES)
+    sample = G.priority_cities(x.gazetteer.cities, V.PRIORITY_CITIES)
     posts = feeds.normalise_threshold_posts(_fetches(x), sample, AS_OF)
     return posts.select("external_id", "lat", "lon", "city_hint", "state_hint", F.get_json_object("raw", "$.category_hint").alias("category"), "text")
 
 
-@query("b4_observations", None, """SELECT 'open_meteo' AS provider, city AS station, lat, lon, temp AS temp_c, precip AS precip_mm, wind AS wind_kph, humidity AS humidity_pct,
+@query("b4_observations", PLACES, """SELECT 'open_meteo' AS provider, city AS station, lat, lon, temp AS temp_c, precip AS precip_mm, wind AS wind_kph, humidity AS humidity_pct,
   concat('{"wmo_code":', code, '}') AS payload FROM usable""", extra={**DIMS, "sample": _SAMPLE_SQL, "readings": _READINGS, "usable": _USABLE})
 def _(x: Inputs):
-    sample = G.priority_cities(Gazetteer.seed(x.spark).cities, V.PRIORITY_CITIES)
+    sample = G.priority_cities(x.gazetteer.cities, V.PRIORITY_CITIES)
     return feeds.normalise_observations(_fetches(x), sample, AS_OF).drop("observed_at")
 
 

@@ -10,7 +10,6 @@ from skyledger import fixtures
 from skyledger.catalog.core import Inputs, query
 from skyledger.catalog.reporting import rollup_sql
 from skyledger.operators import language as LG, ops as O, search as S
-from skyledger.operators.geocode import Gazetteer
 from skyledger.session import scratch_path
 from skyledger.sources import dims, media
 from skyledger.streaming import stream as ST
@@ -73,7 +72,7 @@ def _(x: Inputs):
     root = scratch_path(x.spark, "n3")
     observations = x.observations.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
     values = _stream(x, "messages").select("value")
-    ST.build_stream(values, root, Gazetteer.seed(x.spark), observations, _NOW, None).awaitTermination()
+    ST.build_stream(values, root, x.gazetteer, observations, _NOW, None).awaitTermination()
     return reports(ST.Sinks(x.spark, root).reports).select(
         "source", "external_id", "city", "state", "event_category", "severity", "credibility_score", "is_duplicate", "verification_status"
     )
@@ -84,7 +83,7 @@ def _planted(x: Inputs) -> str:
     root = scratch_path(x.spark, "planted")
     observations = x.observations.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
     values = _stream(x, "planted").select("value")
-    ST.build_stream(values, root, Gazetteer.seed(x.spark), observations, _NOW, None).awaitTermination()
+    ST.build_stream(values, root, x.gazetteer, observations, _NOW, None).awaitTermination()
     return root
 
 

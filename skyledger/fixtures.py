@@ -29,6 +29,31 @@ _CITIES8 = (
 # name -> (names it reads, SELECT text)
 DERIVED: dict[str, tuple[list[str], str]] = {}
 
+
+def invented(key: str) -> str:
+    """A place name of five syllables by rule from the digits of a key's hash; each key has its own for all practical sizes."""
+    consonants, vowels = (f"translate(md5(CAST({key} AS VARCHAR(20))), '0123456789abcdef', '{letters}')" for letters in ("bdfghjklmnprstvy", "aaaeeeiiiooouuue"))
+    letters = [f"substring({vowels if i % 2 == 0 else consonants}, {i}, 1)" for i in range(1, 11)]
+    return f"concat(upper({letters[0]}), {', '.join(letters[1:])})"
+
+
+def misspelled(name: str) -> str:
+    """The name with its fifth letter doubled."""
+    return f"concat(substring({name}, 1, 5), substring({name}, 5))"
+
+
+# the gazetteer: the places that the reports name, and one of every customer
+DERIVED["cities"] = ([], f"""
+SELECT CAST(c.k AS BIGINT) AS ord, c.city, c.state, concat(c.city, ' District') AS district, c.lat, c.lon FROM {_CITIES8}
+UNION ALL SELECT c_custkey + 8, name, n_name, concat(name, ' Rural'), 8e0 + CAST((c_custkey * 7919) % 25013 AS DOUBLE) / 1000e0, 69e0 + CAST((c_custkey * 104729) % 27011 AS DOUBLE) / 1000e0
+FROM (SELECT c_custkey, c_nationkey, {invented('c_custkey')} AS name FROM customer) t JOIN nation ON n_nationkey = c_nationkey""")
+
+# other names of places and states, as they stand in an alias file
+DERIVED["alias_rows"] = ([], f"""
+SELECT CAST(a.ord AS BIGINT) AS ord, a.alias, a.kind, a.target FROM (VALUES (0,'Bangalore','city','Bengaluru'),(1,'Bombay','city','Mumbai'),(2,'Madras','city','Chennai'),
+  (3,'हैदराबाद','city','Hyderabad'),(4,'पटना','city','Patna'),(5,'बिहार','state','Bihar'),(6,'Orissa','state','Odisha'),(7,' BOMBAY ','city','Chennai')) AS a(ord, alias, kind, target)
+UNION ALL SELECT c_custkey + 8, concat('Old ', name), 'city', name FROM (SELECT c_custkey, {invented('c_custkey')} AS name FROM customer WHERE c_custkey % 10 = 3) t""")
+
 DERIVED["reports"] = ([], f"""
 SELECT e.event_id AS report_id,
   CASE e.event_type WHEN 'signup' THEN 'citizen' WHEN 'purchase' THEN 'rss' WHEN 'view' THEN 'reddit' WHEN 'click' THEN 'mastodon' ELSE 'imd' END AS source,

@@ -4,23 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger import fixed_values as V
 from skyledger.functions.text import norm_place, strip
 
 
-def seed_cities(spark: SparkSession) -> DataFrame:
-    rows = [(i, *c) for i, c in enumerate(V.SEED_CITIES)]
-    return spark.createDataFrame(rows, "ord int, city string, state string, district string, lat double, lon double")
-
-
-def seed_aliases(spark: SparkSession) -> DataFrame:
-    rows = [(i, *a) for i, a in enumerate(V.SEED_ALIASES)]
-    raw = spark.createDataFrame(rows, "ord int, alias string, kind string, target string")
-    return _normal_aliases(raw)
-
-
-def _normal_aliases(raw: DataFrame) -> DataFrame:
-    """Normalised aliases; the first row of an alias (per kind) wins."""
+def normal_aliases(raw: DataFrame) -> DataFrame:
+    """Normalised aliases of rows (ord, alias, kind, target); the first row of an alias (per kind) wins."""
     clean = raw.select(
         "ord", norm_place(F.coalesce("alias", F.lit(""))).alias("alias"), F.lower(F.trim("kind")).alias("kind"),
         F.trim("target").alias("target"),
@@ -59,7 +47,7 @@ def load_aliases(spark: SparkSession, path: str) -> DataFrame:
     """CSV ``alias,kind,target``; lines starting with ``#`` are comments."""
     lines = _numbered_lines(spark, path).filter(~F.ltrim("line").startswith("#"))
     fields = F.from_csv("line", "alias string, kind string, target string")
-    return _normal_aliases(lines.filter("ord > 0").select("ord", fields.alias("c")).select("ord", "c.*"))
+    return normal_aliases(lines.filter("ord > 0").select("ord", fields.alias("c")).select("ord", "c.*"))
 
 
 def load_lexicon(spark: SparkSession, path: str) -> DataFrame:

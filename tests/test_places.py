@@ -4,7 +4,6 @@ import difflib
 import html
 import html.entities
 
-import pytest
 from pyspark.sql import functions as F
 
 from skyledger import fixed_values as V
@@ -14,11 +13,6 @@ from skyledger.operators.geocode import Gazetteer
 from skyledger.sources import dims, feeds
 
 
-@pytest.fixture(scope="module")
-def gaz(spark):
-    return Gazetteer.seed(spark)
-
-
 def names(spark, gaz, values):
     df = spark.createDataFrame([(v,) for v in values], "hint string")
     return {r.hint: r.by_name.city if r.by_name else None for r in G.find_city(df, gaz, "hint").collect()}
