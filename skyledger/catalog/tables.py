@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from skyledger import fixed_values as V
 from skyledger.catalog.core import AS_OF, Inputs, query
 from skyledger.operators import contracts as C, merge as M, ops as O, review as W
 from skyledger.plans import rollups as P
 from skyledger.catalog.reporting import rollup_sql
+from skyledger.session import scratch_path
 from skyledger.sources import feeds
+from skyledger.streaming.seenstore import SeenStore
 
 _LATER = dt.datetime(2024, 2, 1)
 _LATER_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -229,6 +233,25 @@ def _(x: Inputs):
     return kept.select("source", "external_id", "report_id", seen.agg(F.count(F.lit(1))).scalar().alias("seen_after"))
 
 
+_SEEN_TTL = dt.timedelta(days=V.SEEN_TTL_DAYS)
+_RUNS = """SELECT report_id, source, CAST(report_id % 700 AS VARCHAR(20)) AS external_id, report_id // 7 % 4 AS run FROM reports WHERE source <> 'rss' OR report_id // 7 % 4 <> 1"""
+
+
+@query("b11_seen_stored", ["reports"], """SELECT source, external_id, arg_min(report_id, struct_pack(run, report_id)) AS report_id, CAST(min(run) AS BIGINT) AS run FROM runs
+  GROUP BY source, external_id, CASE WHEN source = 'rss' AND run >= 2 THEN 1 ELSE 0 END""", extra={"runs": _RUNS})
+def _(x: Inputs):
+    """Four runs, the second compacted; 'rss' misses the second and has lost its keys at the third."""
+    store = SeenStore(x.spark, scratch_path(x.spark, "b11"))
+    posts = x.sql(["reports"], _RUNS.replace("report_id // 7", "report_id div 7"))
+    starts = [AS_OF, AS_OF + 0.9 * _SEEN_TTL, AS_OF + 1.8 * _SEEN_TTL, AS_OF + 2.5 * _SEEN_TTL]
+    kept = []
+    for run, now in enumerate(starts):
+        kept.append(store.publish(posts.filter(F.col("run") == run), run, now, ["report_id"]))
+        if run == 1:
+            store.compact(run)
+    return functools.reduce(DataFrame.unionByName, kept).select("source", "external_id", "report_id", F.col("run").cast("bigint").alias("run"))
+
+
 @query("b12_runs", ["reports"], """SELECT 'rss' AS source, 'success' AS status, count(*) AS fetched, count(DISTINCT external_id) AS published,
   count(*) - count(DISTINCT external_id) AS duplicates, CAST(0 AS BIGINT) AS errors FROM reports WHERE source = 'rss'""")
 def _(x: Inputs):
