@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 from dataclasses import dataclass, replace
 
@@ -15,6 +16,8 @@ K1, B = 1.2, 0.75
 TEXT_BOOST = 2.0
 KEYWORD_FIELDS = ["hashtags", "city", "state", "author"]
 MAX_QUERY_CHARS = 200
+#: Bytes of text, and of a row beside its text, in a task that makes or sorts postings.
+TEXT_PER_TASK, ROW_BYTES = 8 << 20, 64
 
 
 def tokens(col: Column) -> Column:
@@ -70,10 +73,31 @@ class Index:
     stored: bool = False
 
 
+def _terms(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def _statistics(postings: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
-    terms = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     docs = postings.groupBy("field", id_column).agg(F.max("length").alias("length"))
-    return terms, docs.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length"))
+    return _terms(postings), docs.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length"))
+
+
+def _field_statistics(df: DataFrame, id_column: str, tasks: int) -> DataFrame:
+    """What :func:`_statistics` says of fields, from the rows; only lengths are shuffled."""
+    names = [f for f in KEYWORD_FIELDS if f in df.columns]
+    text = F.when(F.size(tokens(F.col("text"))) > 0, F.size(tokens(F.col("text"))))
+    one = [F.when(F.exists(f, lambda v: v.isNotNull()) if f == "hashtags" else F.col(f).isNotNull(), F.lit(1)) for f in names]
+    lengths = df.select(id_column, *[c.cast("bigint").alias(f"_{f}") for f, c in zip(["text", *names], [text, *one])])
+    docs = lengths.repartition(tasks, id_column).groupBy(id_column).agg(*[F.max(f"_{f}").alias(f"_{f}") for f in ["text", *names]])
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("length")) for f in ["text", *names]])
+    rows = docs.select(F.inline(pairs)).filter("length IS NOT NULL")
+    return rows.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length"))
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks for the postings of ``df``: a bounded share of its text each."""
+    held = df.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + ROW_BYTES)).first()[0] or 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(held / TEXT_PER_TASK))
 
 
 def _bucket(buckets: int) -> Column:
@@ -81,11 +105,16 @@ def _bucket(buckets: int) -> Column:
 
 
 def store_index(df: DataFrame, path: str, id_column: str = "report_id", buckets: int = 64) -> Index:
-    """Write the index of ``df`` under ``path`` and open it; the postings of a very common term are spread over tasks by id."""
-    postings = inverted_index(df, id_column).withColumn("bucket", _bucket(buckets))
-    ranged = postings.repartitionByRange("bucket", "field", "term", id_column).sortWithinPartitions("bucket", "field", "term", id_column)
+    """Write the index of ``df`` under ``path`` and open it; the postings of a very common term are spread over tasks by id.
+
+    Rows meet by id before their words are told apart, and tasks grow in number with the text, so none holds more than its share of it.
+    """
+    tasks = _tasks(df)
+    postings = inverted_index(df.repartition(tasks, id_column), id_column).withColumn("bucket", _bucket(buckets))
+    ranged = postings.repartitionByRange(tasks, "bucket", "field", "term", id_column).sortWithinPartitions("bucket", "field", "term", id_column)
     ranged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    terms, fields = _statistics(df.sparkSession.read.parquet(f"{path}/postings"), id_column)
+    terms = _terms(df.sparkSession.read.parquet(f"{path}/postings"))
+    fields = _field_statistics(df, id_column, tasks)
     terms = terms.select("*", _bucket(buckets).alias("bucket"), F.length("term").alias("size"))
     terms.write.mode("overwrite").partitionBy("field", "size").parquet(f"{path}/terms")
     fields.write.mode("overwrite").parquet(f"{path}/fields")
